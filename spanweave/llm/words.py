@@ -18,6 +18,8 @@ SHINGLE = 5
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Second meaning of a word: every ASCII character but letters and digits separates.
+_NO_LETTER = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _RNG = np.random.default_rng(20240607)
@@ -68,9 +70,9 @@ def _power(n: int) -> np.ndarray:
 _POW = _power(256)
 
 
-def _spans(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _spans(data: np.ndarray, cuts: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, starts and ends of words of one piece; ``cuts`` are positions where rows start."""
-    solid = ~_SPACE[data]
+    solid = ~gaps[data]
     if not solid.any():
         none = np.empty(0, np.int64)
         return np.empty(0, np.uint64), none, none
@@ -93,9 +95,10 @@ def _spans(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return mix(np.add.reduceat(parts, at) + lengths.astype(np.uint64)), starts, ends
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, letters: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, byte starts and ends of all words, and the n + 1 word offsets of the rows."""
     hashes, starts, ends, at, n = [], [], [], 0, len(data)
+    gaps = _NO_LETTER if letters else _SPACE
     while at < n:
         end = min(n, at + PIECE_BYTES)
         if end < n:
@@ -103,15 +106,15 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
             if offsets[stop] > at:
                 end = int(offsets[stop])
             else:
-                gap = np.flatnonzero(_SPACE[data[at:end]])
+                gap = np.flatnonzero(gaps[data[at:end]])
                 while not len(gap) and end < n:
                     more = min(n, end + PIECE_BYTES)
-                    gap = np.flatnonzero(_SPACE[data[end:more]]) + (end - at)
+                    gap = np.flatnonzero(gaps[data[end:more]]) + (end - at)
                     end = more
                 if len(gap):
                     end = at + int(gap[-1]) + 1
         inside = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, end)] - at
-        h, s, e = _spans(data[at:end], np.unique(inside))
+        h, s, e = _spans(data[at:end], np.unique(inside), gaps)
         hashes.append(h)
         starts.append(s + at)
         ends.append(e + at)
