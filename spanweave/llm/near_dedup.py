@@ -5,12 +5,10 @@
    smallest id of a class goes on, so copies never meet each other in a band.
 2. The compressed registers are banded: ``BANDS`` keys of ``ROWS`` registers.  At the limit
    of 0.85 a pair shares no key with probability (1 - 0.85^6)^32, about 3e-7.
-3. In each band bucket every member is paired with the bucket's smallest id only: linear in
-   the bucket.  Pairs whose collision-corrected estimate is six deviations under the limit
-   go; the others are confirmed on their full sets.  Links give components.
-4. Members of a bucket whose components still differ are paired with each other, exactly and
-   without a cap, and confirmed in the same way.  Pairs within a component cannot change the
-   result, so no link between different texts is lost and no group is squared.
+3. ``linking`` pairs the members of a bucket with its head and then only those members that
+   may still be linked with each other; no bucket is squared and no link is lost.  Pairs
+   whose collision-corrected estimate is six deviations under the limit go; the others are
+   confirmed on their full sets, and links give components.
 
 A document without words has an empty set and is linked with nothing; a document of fewer
 than five words has the whole sequence as its one shingle.  Rows with a null ``doc_id`` are
@@ -31,9 +29,9 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import DoubleType
 
 from .columns import texts
-from .components import components
+from .linking import link
 from .minhash import BUCKETS, band_keys, estimate, signatures
-from .scratch import cut, discard
+from .scratch import cut
 from .words import mix, pieces, shingle_sets, string_bytes
 
 BANDS, ROWS = 32, 6
@@ -69,7 +67,7 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [s.view(np.int64) for s in shingle_sets(*string_bytes(batch.column("text")))]
         at = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
         flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["doc_id", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["node", "shingles"])
 
 
 @arrow_udf(DoubleType())
@@ -82,30 +80,14 @@ def _likeness(a: pa.Array, b: pa.Array, n_a: pa.Array, n_b: pa.Array) -> pa.Arra
     return pa.array(np.concatenate(parts) if parts else np.empty(0))
 
 
-def _confirmed(pairs: DataFrame, sketch: DataFrame, sets: DataFrame, limit: int) -> DataFrame:
-    """Pairs ``a``, ``b`` that are links: first by size and estimate, then on the full sets."""
+def _likely(pairs: DataFrame, sketch: DataFrame, limit: int) -> DataFrame:
+    """Pairs that sizes and the estimate, less six of its deviations, leave possible."""
     half = lambda x: sketch.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
     near = pairs.join(half("a"), "a").join(half("b"), "b")
     near = near.where(100 * F.least("n_a", "n_b") >= limit * F.greatest("n_a", "n_b"))
     part = limit / 100
     spread = F.sqrt(F.lit(part * (1 - part)) / F.least(F.lit(BUCKETS), F.greatest("n_a", "n_b")))
-    near = near.where(_likeness("r_a", "r_b", "n_a", "n_b") >= F.lit(part) - 6 * spread).select("a", "b")
-    whole = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s_{x}"))
-    both = near.join(whole("a"), "a").join(whole("b"), "b")
-    both = both.select("a", "b", F.size("s_a").alias("x"), F.size("s_b").alias("y"), F.size(F.array_intersect("s_a", "s_b")).alias("i"))
-    return both.where(100 * F.col("i") >= limit * (F.col("x") + F.col("y") - F.col("i"))).select("a", "b")
-
-
-def _leftover(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """All pairs that share a bucket and lie in different components."""
-    named = members.join(labels.select(F.col("node").alias("doc_id"), F.col("component").alias("c0")), "doc_id", "left")
-    named = named.select("key", "doc_id", "n", F.coalesce("c0", "doc_id").alias("c"))
-    mixed = named.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("key")
-    rest = cut(named.join(cut(mixed, "near-mixed"), "key", "left_semi"), "near-rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c"))
-    sizes = 100 * F.least("x.n", "y.n") >= LIMIT * F.greatest("x.n", "y.n")
-    return x.join(y, on & sizes).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    return near.where(_likeness("r_a", "r_b", "n_a", "n_b") >= F.lit(part) - 6 * spread).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -114,22 +96,15 @@ def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     sketch = cut(rows.mapInArrow(_sketch, _SKETCH), "near-sketch")
     classes = cut(sketch.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")), "near-classes")
     reps = sketch.where("n > 0").join(classes.select(F.col("rep").alias("doc_id"), "s1", "s2", "n"), ["doc_id", "s1", "s2", "n"], "left_semi")
-    own = cut(reps.dropDuplicates(["doc_id", "s1", "s2", "n"]) if _repeats(classes) else reps, "near-reps")
-    bands = own.select(F.explode("bands").alias("key"), "doc_id", "n")
-    heads = bands.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail")).where("head < tail").select("key", "head")
-    members = cut(bands.join(cut(heads, "near-heads"), "key"), "near-members")
-    stars = cut(members.where("head <> doc_id").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct(), "near-stars")
-    nodes = stars.select("a").union(stars.select("b")).distinct().select(F.col("a").alias("doc_id"))
-    sets = cut(rows.join(cut(nodes, "near-nodes"), "doc_id", "left_semi").mapInArrow(_full_sets, "doc_id bigint, shingles array<bigint>"), "near-sets")
-    links = cut(_confirmed(stars, own, sets, limit), "near-links")
-    labels = components(links)
-    rest = cut(_leftover(members.select("key", "doc_id", "n"), labels), "near-pairs")
-    if not rest.isEmpty():
-        more = cut(_confirmed(rest, own, sets, limit), "near-more")
-        if not more.isEmpty():
-            labels = components(links.union(more))
-    for old in (heads, members, stars, sets):
-        discard(old)
+    repeats = not sketch.groupBy("doc_id").count().where("count > 1").isEmpty()
+    own = cut(reps.dropDuplicates(["doc_id", "s1", "s2", "n"]) if repeats else reps, "near-reps")
+    bands = own.select(F.explode("bands").alias("key"), F.col("doc_id").alias("node"))
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        found = rows.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+        return found.mapInArrow(_full_sets, "node bigint, shingles array<bigint>").distinct() if repeats else found.mapInArrow(_full_sets, "node bigint, shingles array<bigint>")
+
+    labels = link(bands, sets_of, limit, lambda pairs: _likely(pairs, own, limit), "near")
     named = classes.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
     named = cut(named, "near-named")
     found = sketch.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
@@ -138,11 +113,6 @@ def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _repeats(classes: DataFrame) -> bool:
-    """Whether one id stands for several classes, as only repeated ids can."""
-    return not classes.groupBy("rep").count().where("count > 1").isEmpty()
-
-
 def drop_near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """``docs`` without the rows of documents that are not the smallest of their component."""
     gone = near_duplicates(docs, limit).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()

@@ -3,8 +3,8 @@
 Paragraphs (lines) of ``MIN_WORDS`` words or more get MinHash bands over their 5-word
 shingles: ``BANDS`` bands of ``ROWS`` registers, so a pair at the limit of 0.8 meets with
 probability 1 - (1 - 0.8^3)^14 > 0.9999.  As in the document operator, paragraphs of equal
-sets form one class, each bucket pairs its members with its first, pairs are confirmed by
-exact Jaccard on the full sets, and links give components.  All paragraphs of a component go
+sets form one class, ``linking`` pairs what shares a bucket and confirms by exact Jaccard on
+the full sets, and links give components.  All paragraphs of a component go
 except those of the smallest document in it.
 
 A passage may also be glued into the middle of other paragraphs, where no paragraph is alike.
@@ -36,7 +36,7 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import IntegerType
 
 from .columns import texts
-from .components import components
+from .linking import link
 from .minhash import band_keys, signatures
 from .scratch import cut
 from .words import SHINGLE, mix, pieces, shingle_hashes, string_bytes, word_hashes
@@ -165,31 +165,15 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     every = cut(every.withColumn("p", F.xxhash64("doc_id", "first", "name")), "par-sketch")
     classes = cut(every.groupBy("name", "n").agg(F.min("p").alias("rep")), "par-classes")
     reps = every.join(classes.select(F.col("rep").alias("p")), "p", "left_semi").select("p", "doc_id", "first", "n", "bands")
-    bands = reps.select(F.explode("bands").alias("key"), "p")
-    heads = cut(bands.groupBy("key").agg(F.min("p").alias("head"), F.max("p").alias("tail")).where("head < tail").select("key", "head"), "par-heads")
-    members = cut(bands.join(heads, "key"), "par-members")
-    stars = cut(members.where("head <> p").select(F.col("head").alias("a"), F.col("p").alias("b")).distinct(), "par-stars")
-    nodes = cut(stars.select("a").union(stars.select("b")).distinct().select(F.col("a").alias("p")), "par-nodes")
-    wanted = every.join(nodes, "p", "left_semi").groupBy("doc_id").agg(F.collect_set("first").alias("wanted"))
-    sets = docs.join(cut(wanted, "par-wanted"), "doc_id").select("doc_id", "text", "wanted").mapInArrow(_sets, "doc_id bigint, first bigint, shingles array<bigint>")
-    sets = cut(sets.join(every.join(nodes, "p", "left_semi").select("doc_id", "first", "p"), ["doc_id", "first"]).select("p", "shingles"), "par-sets")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("p").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("p").alias("b"), F.col("shingles").alias("y")), "b")
-        both = both.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("i"))
-        return both.where(100 * F.col("i") >= LIMIT * (F.col("nx") + F.col("ny") - F.col("i"))).select("a", "b")
-
-    links = cut(confirmed(stars), "par-links")
-    labels = components(links, "par-components")
-    named = members.join(labels.select(F.col("node").alias("p"), F.col("component").alias("c0")), "p", "left").select("key", "p", F.coalesce("c0", "p").alias("c"))
-    mixed = cut(named.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("key"), "par-mixed")
-    rest = cut(named.join(mixed, "key", "left_semi"), "par-rest")
-    pairs = rest.alias("x").join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")))
-    pairs = cut(pairs.select(F.col("x.p").alias("a"), F.col("y.p").alias("b")).distinct(), "par-pairs")
-    if not pairs.isEmpty():
-        more = cut(confirmed(pairs), "par-more")
-        if not more.isEmpty():
-            labels = components(links.union(more), "par-components")
+    bands = reps.select(F.explode("bands").alias("key"), F.col("p").alias("node"))
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        known = cut(every.join(nodes.select(F.col("node").alias("p")), "p", "left_semi").select("doc_id", "first", "p"), "par-known")
+        wanted = cut(known.groupBy("doc_id").agg(F.collect_set("first").alias("wanted")), "par-wanted")
+        found = docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_sets, "doc_id bigint, first bigint, shingles array<bigint>")
+        return found.join(known, ["doc_id", "first"]).select(F.col("p").alias("node"), "shingles").dropDuplicates(["node"])
+
+    labels = link(bands, sets_of, LIMIT, name="par")
     kind = classes.join(labels.select(F.col("node").alias("rep"), F.col("component")), "rep", "left").select("name", "n", F.coalesce("component", "rep").alias("component"))
     kind = cut(kind, "par-named")
     placed = cut(every.select("doc_id", "first", "words", "name", "n").join(kind, ["name", "n"]), "par-placed")
