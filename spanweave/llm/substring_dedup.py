@@ -63,38 +63,38 @@ def _anchors(h: np.ndarray) -> np.ndarray:
     return np.unique(best[:n])
 
 
-def _around(words: np.ndarray, at: np.ndarray, direction: int) -> np.ndarray:
-    """Three bits of each of the next ``AROUND`` words, the nearest lowest; beyond the text differs by side."""
+def _around(words: np.ndarray, at: np.ndarray, direction: int, room: np.ndarray) -> np.ndarray:
+    """Three bits of each of the next ``AROUND`` words, the nearest lowest; 0 beyond ``room``."""
     out = np.zeros(len(at), np.uint64)
     for i in range(AROUND):
-        place = at + direction * i
-        inside = (place >= 0) & (place < len(words))
-        bits = np.where(inside, words[np.clip(place, 0, len(words) - 1)] & np.uint64(7), np.uint64(0))
-        out |= bits << np.uint64(3 * i)
+        place = np.where(i < room, at + direction * i, 0)
+        out |= np.where(i < room, words[place] & np.uint64(7), np.uint64(0)) << np.uint64(3 * i)
     return out
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "text"):
         words, _, _, at = word_hashes(*string_bytes(batch.column("text")))
-        cols: list[list[np.ndarray]] = [[], [], [], [], [], []]
-        for doc, a, b in zip(batch.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
-            if b - a < MIN_WORDS:
-                continue
-            w = words[a:b]
-            place = _anchors(mix(w[:-1] + w[1:] * np.uint64(0x9E3779B97F4A7C15)))
-            place = place[place <= len(w) - BLOCK]
-            total = np.zeros(len(place), np.uint64)
-            for i in range(BLOCK):
-                total += w[place + i] * _BLOCK_MULT[i]
-            left, right = _around(w, place - 1, -1), _around(w, place + BLOCK, 1)
-            room = np.minimum(place, AROUND) * 32 + np.minimum(len(w) - BLOCK - place, AROUND)
-            for c, x in zip(cols, (mix(total), np.full(len(place), doc), place, left, right, room), strict=True):
-                c.append(x)
-        if cols[0]:
-            arrays = [np.concatenate(c) for c in cols]
-            arrays = [pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64)) for x in arrays]
-            yield pa.RecordBatch.from_arrays(arrays, ["h", "doc_id", "place", "l", "r", "room"])
+        if len(words) < MIN_WORDS:
+            continue
+        key = mix(words[:-1] + words[1:] * np.uint64(0x9E3779B97F4A7C15))
+        found = []
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            place = _anchors(key[a : b - 1]) if b - a >= MIN_WORDS else np.empty(0, np.int64)
+            found.append(a + place[place <= b - a - BLOCK])
+        each = np.array([len(f) for f in found])
+        place, row = np.concatenate(found), np.repeat(np.arange(len(found)), each)
+        if not len(place):
+            continue
+        total = np.zeros(len(place), np.uint64)
+        for i in range(BLOCK):
+            total += words[place + i] * _BLOCK_MULT[i]
+        before, after = np.minimum(place - at[row], AROUND), np.minimum(at[row + 1] - BLOCK - place, AROUND)
+        left, right = _around(words, place - 1, -1, before), _around(words, place + BLOCK, 1, after)
+        ids = batch.column("doc_id").take(pa.array(row))
+        arrays = [mix(total).view(np.int64), place - at[row], left.view(np.int64), right.view(np.int64), before * 32 + after]
+        h, place, left, right, room = (pa.array(x) for x in arrays)
+        yield pa.RecordBatch.from_arrays([h, ids, place, left, right, room], ["h", "doc_id", "place", "l", "r", "room"])
 
 
 @arrow_udf(IntegerType())
