@@ -39,17 +39,16 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
         full[i] = there
         low[i, there] = hashes[at[there]]
     out = _registers(low << np.uint64(8))
-    own, open_ = out.copy(), ~full
+    own = out.copy()
+    rows, cols = np.nonzero(~full)
     for t in range(_TRIES):
-        rows, cols = np.nonzero(open_)
         if not len(rows):
             return out
         source = _PROBE[t, cols]
         good = full[rows, source]
         out[rows[good], cols[good]] = own[rows[good], source[good]]
-        open_[rows[good], cols[good]] = False
+        rows, cols = rows[~good], cols[~good]
     first = full.argmax(axis=1)
-    rows, cols = np.nonzero(open_)
     out[rows, cols] = own[rows, first[rows]]
     return out
 
