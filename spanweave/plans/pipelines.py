@@ -16,7 +16,7 @@ from ..sources import tables
 class Linker:
     """One run's tables; parameters default to values that reach every branch on the test tables.
 
-    Dictionary, relatedness and mentions feed several branches; they are persisted with their
+    Tables that feed several branches are persisted with their
     lineage, on disk beyond memory, and made again where an executor is lost.
     """
 
@@ -36,7 +36,7 @@ class Linker:
 
     @cached_property
     def queries(self) -> DataFrame:
-        return tables.queries(self.spark, self.sf_dir)
+        return tables.queries(self.spark, self.sf_dir).persist()
 
     @cached_property
     def sessions(self) -> DataFrame:
@@ -65,24 +65,26 @@ class Linker:
 
     @cached_property
     def voted(self) -> DataFrame:
-        return voting.votes(self.mentions, voting.limit(self.dictionary, self.k, self.tau), self.rel)
+        return voting.votes(self.mentions, voting.limit(self.dictionary, self.k, self.tau), self.rel).persist()
 
     def by_voting(self) -> DataFrame:
-        return voting.with_choice(self.prior(), voting.choose_epsilon(self.voted, self.epsilon), self.dictionary)
+        return voting.with_choice(self.prior(), voting.choose_epsilon(self.voted, self.epsilon), self.dictionary).persist()
 
     def by_dynamic(self) -> DataFrame:
-        return voting.with_choice(self.prior(), voting.dp_choice(self.mentions, self.dictionary, self.rel, self.sessions, compat=self.compat), self.dictionary)
+        return voting.with_choice(self.prior(), voting.dp_choice(self.mentions, self.dictionary, self.rel, self.sessions, compat=self.compat), self.dictionary).persist()
 
     def pruned(self, chosen: DataFrame, theta: float) -> tuple[DataFrame, DataFrame]:
-        return voting.prune(chosen, self.rel, theta, self.compat)
+        kept, total = voting.prune(chosen, self.rel, theta, self.compat)
+        return kept.persist(), total.persist()
 
     def combined(self) -> tuple[DataFrame, DataFrame]:
         """Predictions of the winner of each query, and the winners."""
         t, t_total = self.pruned(self.by_voting(), self.theta)
         d, d_total = self.pruned(self.by_dynamic(), self.dp_theta)
-        winners = voting.arbitrate(voting.confidence(self.queries, t, t_total), voting.confidence(self.queries, d, d_total))
+        winners = voting.arbitrate(voting.confidence(self.queries, t, t_total), voting.confidence(self.queries, d, d_total)).persist()
         one = lambda x, name: x.join(winners.where(F.col("winner") == name).select("query_id"), "query_id", "left_semi")
         return one(t, "voting").unionByName(one(d, "dynamic")), winners
 
     def score(self, predicted: DataFrame) -> DataFrame:
-        return scoring.evaluate(predicted.where("chosen >= 0").select("query_id", "ord", "position", "word_count", "surface", "link"), self.gold)
+        active = predicted.where("chosen >= 0").select("query_id", "ord", "position", "word_count", "surface", "link")
+        return scoring.evaluate(active.persist(), self.gold)
