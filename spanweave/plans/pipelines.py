@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 
 from ..operators import scoring, segment, voting
 from ..sources import tables
+from ..sources.stage import stage
 
 
 @dataclass
 class Linker:
     """One run's tables; parameters default to values that reach every branch on the test tables.
 
-    Tables that feed several branches are persisted with their
-    lineage, on disk beyond memory, and made again where an executor is lost.
+    Tables that feed several branches are stored in the shared folder between the steps, so
+    plans stay small and a lost executor costs no step before.
     """
 
     spark: SparkSession
@@ -32,11 +33,11 @@ class Linker:
 
     @cached_property
     def dictionary(self) -> DataFrame:
-        return tables.mention_dict(self.spark, self.sf_dir).persist()
+        return stage(tables.mention_dict(self.spark, self.sf_dir), "dictionary")
 
     @cached_property
     def queries(self) -> DataFrame:
-        return tables.queries(self.spark, self.sf_dir).persist()
+        return stage(tables.queries(self.spark, self.sf_dir), "queries")
 
     @cached_property
     def sessions(self) -> DataFrame:
@@ -48,7 +49,7 @@ class Linker:
 
     @cached_property
     def rel(self) -> DataFrame:
-        return tables.relatedness(self.spark, self.sf_dir).persist()
+        return stage(tables.relatedness(self.spark, self.sf_dir), "relatedness")
 
     @cached_property
     def candidates(self) -> DataFrame:
@@ -56,7 +57,7 @@ class Linker:
 
     @cached_property
     def mentions(self) -> DataFrame:
-        return segment.resolve_overlaps(self.candidates).persist()
+        return stage(segment.resolve_overlaps(self.candidates), "mentions")
 
     def prior(self) -> DataFrame:
         m = self.mentions
@@ -65,26 +66,26 @@ class Linker:
 
     @cached_property
     def voted(self) -> DataFrame:
-        return voting.votes(self.mentions, voting.limit(self.dictionary, self.k, self.tau), self.rel).persist()
+        return voting.votes(self.mentions, voting.limit(self.dictionary, self.k, self.tau), self.rel)
 
     def by_voting(self) -> DataFrame:
-        return voting.with_choice(self.prior(), voting.choose_epsilon(self.voted, self.epsilon), self.dictionary).persist()
+        return stage(voting.with_choice(self.prior(), voting.choose_epsilon(self.voted, self.epsilon), self.dictionary), "voting")
 
     def by_dynamic(self) -> DataFrame:
-        return voting.with_choice(self.prior(), voting.dp_choice(self.mentions, self.dictionary, self.rel, self.sessions, compat=self.compat), self.dictionary).persist()
+        return stage(voting.with_choice(self.prior(), voting.dp_choice(self.mentions, self.dictionary, self.rel, self.sessions, compat=self.compat), self.dictionary), "dynamic")
 
     def pruned(self, chosen: DataFrame, theta: float) -> tuple[DataFrame, DataFrame]:
         kept, total = voting.prune(chosen, self.rel, theta, self.compat)
-        return kept.persist(), total.persist()
+        return stage(kept, "kept"), stage(total, "total")
 
     def combined(self) -> tuple[DataFrame, DataFrame]:
         """Predictions of the winner of each query, and the winners."""
         t, t_total = self.pruned(self.by_voting(), self.theta)
         d, d_total = self.pruned(self.by_dynamic(), self.dp_theta)
-        winners = voting.arbitrate(voting.confidence(self.queries, t, t_total), voting.confidence(self.queries, d, d_total)).persist()
+        winners = stage(voting.arbitrate(voting.confidence(self.queries, t, t_total), voting.confidence(self.queries, d, d_total)), "winners")
         one = lambda x, name: x.join(winners.where(F.col("winner") == name).select("query_id"), "query_id", "left_semi")
         return one(t, "voting").unionByName(one(d, "dynamic")), winners
 
     def score(self, predicted: DataFrame) -> DataFrame:
         active = predicted.where("chosen >= 0").select("query_id", "ord", "position", "word_count", "surface", "link")
-        return scoring.evaluate(active.persist(), self.gold)
+        return scoring.evaluate(active, stage(self.gold, "gold"))
