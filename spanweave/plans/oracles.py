@@ -12,9 +12,9 @@ _CTES = {
     "q": "SELECT query_id, string_agg(p_name, ' ' ORDER BY i) AS text, string_split(string_agg(p_name, ' ' ORDER BY i), ' ') AS w FROM items GROUP BY query_id",
     "sess": "SELECT o_orderkey AS query_id, o_custkey AS session_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INTEGER) AS query_ord FROM orders",
     "gold": "SELECT query_id, i AS gold_ord, 2 * i AS position, 2 AS word_count, p_name AS substring, p_brand AS link FROM items",
-    "at": "SELECT DISTINCT query_id, p_brand AS e FROM items",
-    "per": "SELECT e, count(*) AS n FROM at GROUP BY e",
-    "rel": "SELECT a.e AS e1, b.e AS e2, CAST(count(*) AS DOUBLE) / CAST(any_value(x.n) + any_value(y.n) - count(*) AS DOUBLE) AS rel FROM at a JOIN at b USING (query_id) JOIN per x ON x.e = a.e JOIN per y ON y.e = b.e WHERE (CAST(string_split(a.e, '#')[2] AS INTEGER) + CAST(string_split(b.e, '#')[2] AS INTEGER)) % 7 <> 0 GROUP BY a.e, b.e",
+    "holds": "SELECT DISTINCT query_id, p_brand AS e FROM items",
+    "per": "SELECT e, count(*) AS n FROM holds GROUP BY e",
+    "rel": "SELECT a.e AS e1, b.e AS e2, CAST(count(*) AS DOUBLE) / CAST(any_value(x.n) + any_value(y.n) - count(*) AS DOUBLE) AS rel FROM holds a JOIN holds b USING (query_id) JOIN per x ON x.e = a.e JOIN per y ON y.e = b.e WHERE (CAST(string_split(a.e, '#')[2] AS INTEGER) + CAST(string_split(b.e, '#')[2] AS INTEGER)) % 7 <> 0 GROUP BY a.e, b.e",
     "grams": "SELECT query_id, CAST(p AS INTEGER) AS position, CAST(n AS INTEGER) AS word_count, array_to_string(w[p + 1 : p + n], ' ') AS surface FROM q, unnest(range(1, len(w) + 1)) t(n), unnest(range(0, len(w))) u(p) WHERE p + n <= len(w)",
     "grams3": "SELECT * FROM grams WHERE word_count <= 3",
     "cand": "SELECT query_id, position, word_count, surface, d.link AS link0, d.prob AS p0, n_cands, row_number() OVER (PARTITION BY query_id ORDER BY word_count DESC, position) AS o FROM grams3 JOIN (SELECT * FROM dict WHERE rank = 1) d USING (surface) JOIN (SELECT surface, CAST(count(*) AS INTEGER) AS n_cands FROM dict GROUP BY surface) USING (surface)",
@@ -117,15 +117,15 @@ _QUERIES = {
     "baseline_f1": _f1("prior"),
     "candidate_limit": "SELECT surface, rank, link FROM (SELECT *, row_number() OVER (PARTITION BY surface ORDER BY rank) AS r FROM dict WHERE prob >= 0.042) WHERE r <= 5",
     "surface_vote": "SELECT surface, target, round(vote, 9) AS vote FROM sv",
-    "vote": "SELECT query_id, ord, round(sum(vote), 5) AS votes, count(*) AS n FROM voted GROUP BY query_id, ord",
+    "vote": "SELECT query_id, ord, round(sum(vote), 9) AS votes, count(*) AS n FROM voted GROUP BY query_id, ord",
     "choose_epsilon": "SELECT query_id, ord, chosen FROM eps",
     "choose_topk": "SELECT query_id, ord, CAST(arg_max(rank, [prob, -rank]) - 1 AS INTEGER) AS chosen FROM (SELECT *, row_number() OVER (PARTITION BY query_id, ord ORDER BY round(vote, 7) DESC, rank) AS r FROM voted) WHERE r <= 10 GROUP BY query_id, ord",
     "relatedness": "SELECT e1, e2, round(rel, 9) AS rel FROM rel",
-    "coherence": "SELECT query_id, ord, round(coherence, 6) AS coherence FROM coh_p",
+    "coherence": "SELECT query_id, ord, round(coherence, 9) AS coherence FROM coh_p",
     "prune": "SELECT query_id, ord, chosen FROM kept_p",
     "prune_clean": "SELECT p.query_id, p.ord, CASE WHEN c.coherence <= 0.12 THEN -1 ELSE p.chosen END AS chosen FROM prior p LEFT JOIN coh_p c ON c.query_id = p.query_id AND c.ord = p.ord",
-    "query_coherence": "SELECT query_id, round(total, 6) AS total, n_chosen FROM total_p",
-    "confidence": "SELECT query_id, round(confidence, 5) AS confidence FROM conf_p",
+    "query_coherence": "SELECT query_id, round(total, 12) AS total, n_chosen FROM total_p",
+    "confidence": "SELECT query_id, confidence FROM conf_p",
     "improved_f1": _f1("kept_p"),
     "voting_f1": _f1("kept_v"),
     "session_history": "SELECT s.query_id, s.session_id, s.query_ord, coalesce(string_agg(n.link, '|' ORDER BY n.link), '') AS history FROM sess s LEFT JOIN since n ON n.session_id = s.session_id AND n.since <= s.query_ord GROUP BY ALL",

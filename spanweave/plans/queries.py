@@ -92,7 +92,7 @@ def surface_vote(x):
 
 @query
 def vote(x):
-    return x.voted.groupBy("query_id", "ord").agg(F.round(F.sum("vote"), 5).alias("votes"), F.count("*").alias("n"))
+    return x.voted.groupBy("query_id", "ord").agg(F.round(F.sum("vote"), 9).alias("votes"), F.count("*").alias("n"))
 
 
 @query
@@ -112,7 +112,7 @@ def relatedness(x):
 
 @query
 def coherence(x):
-    return voting.coherence(x.prior(), x.rel).select("query_id", "ord", F.round("coherence", 6).alias("coherence"))
+    return voting.coherence(x.prior(), x.rel).select("query_id", "ord", F.round("coherence", 9).alias("coherence"))
 
 
 @query
@@ -130,13 +130,13 @@ def prune_clean(x):
 @query
 def query_coherence(x):
     _, total = voting.prune(x.prior(), x.rel, x.theta, True)
-    return total.select("query_id", F.round("total", 6).alias("total"), "n_chosen")
+    return total.select("query_id", F.round("total", 12).alias("total"), "n_chosen")
 
 
 @query
 def confidence(x):
     kept, total = voting.prune(x.prior(), x.rel, x.theta, True)
-    return voting.confidence(x.queries, kept, total).select("query_id", F.round("confidence", 5).alias("confidence"))
+    return voting.confidence(x.queries, kept, total)
 
 
 @query
