@@ -2,8 +2,8 @@
 
 Documents are range-partitioned by ``doc_id``; each partition becomes one stream of ids
 (every document closed by ``end_id``) in an Arrow IPC file whose batches hold fixed-size
-lists: ``ids`` (``seq_len`` unsigned 32-bit integers) and ``mask`` (as many bytes, 0 only on
-the padding of a file's last sequence).  Any sequence is found by its number without reading
+lists: ``ids`` (``seq_len`` unsigned integers, of 16 bits if the vocabulary allows, else 32)
+and ``mask`` (as many bits, unset only on the padding of a file's last sequence).  Any sequence is found by its number without reading
 the others, and a memory map serves it without a copy.  A second small file holds the
 documents' ids, starts and lengths, since the end id may also occur inside a text.
 
@@ -23,7 +23,6 @@ from __future__ import annotations
 import functools
 import re
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +43,7 @@ _GAP = re.compile("[\x20\x09-\x0d]+")
 
 @functools.lru_cache(maxsize=4)
 def word_encoder(tokenizer_path: str):
-    """A function from texts to the bytes of their ids, one for each Python worker."""
+    """A function from texts to the bytes of their ids, and the type that holds an id; one for each Python worker."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
@@ -63,15 +62,15 @@ def word_encoder(tokenizer_path: str):
                 cache[word] = np.array(got.ids, "<u4").tobytes()
         return [b"".join(map(cache.__getitem__, words)) for words in split]
 
-    return encode
+    return encode, pa.uint16() if tokenizer.get_vocab_size() <= 1 << 16 else pa.uint32()
 
 
 def _open(path: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else "file://" + path)
 
 
-def _sequence_schema(seq_len: int) -> pa.Schema:
-    return pa.schema([pa.field("ids", pa.list_(pa.uint32(), seq_len), False), pa.field("mask", pa.list_(pa.uint8(), seq_len), False)])
+def _sequence_schema(seq_len: int, kind: pa.DataType) -> pa.Schema:
+    return pa.schema([pa.field("ids", pa.list_(kind, seq_len), False), pa.field("mask", pa.list_(pa.bool_(), seq_len), False)])
 
 
 _DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -80,8 +79,9 @@ _DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", p
 class _SequenceFile:
     """Packs ids into sequences and writes them batch by batch."""
 
-    def __init__(self, sink, seq_len: int):
-        self.writer, self.seq_len, self.left, self.size = pa.ipc.new_file(sink, _sequence_schema(seq_len)), seq_len, [], 0
+    def __init__(self, sink, seq_len: int, kind: pa.DataType):
+        self.schema = _sequence_schema(seq_len, kind)
+        self.writer, self.seq_len, self.left, self.size = pa.ipc.new_file(sink, self.schema), seq_len, [], 0
 
     def add(self, ids: np.ndarray) -> None:
         self.left.append(ids)
@@ -94,17 +94,17 @@ class _SequenceFile:
         self.left, self.size = [flat[n:]], len(flat) - n
         step = self.seq_len * BATCH_SEQUENCES
         for at in range(0, n, step):
-            self._batch(flat[at : min(n, at + step)], np.ones(min(n, at + step) - at, np.uint8))
+            self._batch(flat[at : min(n, at + step)], np.ones(min(n, at + step) - at, bool))
 
     def _batch(self, ids: np.ndarray, mask: np.ndarray) -> None:
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.seq_len) for x in (ids, mask)]
-        self.writer.write_batch(pa.RecordBatch.from_arrays(lists, schema=_sequence_schema(self.seq_len)))
+        flat = (pa.array(ids, self.schema.field("ids").type.value_type), pa.array(mask))
+        self.writer.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(x, self.seq_len) for x in flat], schema=self.schema))
 
     def close(self) -> None:
         self._write(self.size - self.size % self.seq_len)
         if self.size:
             pad = self.seq_len - self.size
-            self._batch(np.r_[self.left[0], np.zeros(pad, np.uint32)].astype(np.uint32), np.r_[np.ones(self.size, np.uint8), np.zeros(pad, np.uint8)].astype(np.uint8))
+            self._batch(np.pad(np.concatenate(self.left), (0, pad)), np.arange(self.seq_len) < self.size)
         self.writer.close()
 
 
@@ -116,10 +116,11 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2, seq_
         fs, base = _open(path)
         fs.create_dir(base, recursive=True)
         own = f"{base}/.{number:06d}-{uuid.uuid4().hex}"
-        encode, end = word_encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        encode, kind = word_encoder(tokenizer_path)
+        end = np.array([end_id], "<u4").tobytes()
         start = n_docs = 0
         with fs.open_output_stream(own + ".seq") as s, fs.open_output_stream(own + ".doc") as d:
-            out, index = _SequenceFile(s, seq_len), pa.ipc.new_file(d, _DOCS)
+            out, index = _SequenceFile(s, seq_len, kind), pa.ipc.new_file(d, _DOCS)
             for batch in pieces(batches, "text"):
                 ids = [x + end for x in encode(batch.column("text").to_pylist())]
                 out.add(np.frombuffer(b"".join(ids), "<u4"))
@@ -162,8 +163,7 @@ def read_file(sequences: str, index: str, base: int, batch_docs: int = 512) -> I
     fs, seq_path = _open(sequences)
     with fs.open_input_file(seq_path) as s, fs.open_input_file(_open(index)[1]) as d:
         seqs, docs = pa.ipc.open_file(s), pa.ipc.open_file(d)
-        width = seqs.schema.field("ids").type.list_size
-        held, first, taken = np.empty(0, np.uint32), 0, 0
+        held, first, taken = np.empty(0, seqs.schema.field("ids").type.value_type.to_pandas_dtype()), 0, 0
         for k in range(docs.num_record_batches):
             got = docs.get_batch(k)
             for at in range(0, got.num_rows, batch_docs):
@@ -173,24 +173,19 @@ def read_file(sequences: str, index: str, base: int, batch_docs: int = 512) -> I
                 size, first = len(more[0]), int(begin[0])
                 while size < begin[-1] + n[-1] - first:
                     batch = seqs.get_batch(taken)
-                    mask = np.asarray(batch.column("mask").flatten()).astype(bool)
+                    mask = batch.column("mask").flatten().to_numpy(zero_copy_only=False)
                     more.append(np.asarray(batch.column("ids").flatten())[mask])
                     size, taken = size + len(more[-1]), taken + 1
                 held = np.concatenate(more)
                 ids = [held[a - first : a - first + c].astype("<u4").tobytes() for a, c in zip(begin.tolist(), n.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(begin + base), pa.array(n), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
-        assert width > 0
 
 
-def sequence(path: str, number: int) -> tuple[np.ndarray, np.ndarray]:
+def sequence(path: str, number: int) -> tuple[pa.Array, pa.Array]:
     """Ids and mask of one sequence of a local file, as views of its memory map."""
     reader = pa.ipc.open_file(pa.memory_map(path))
     per = reader.get_batch(0).num_rows
     batch = reader.get_batch(number // per)
     width = reader.schema.field("ids").type.list_size
     at = (number % per) * width
-    return tuple(batch.column(c).flatten().to_numpy(zero_copy_only=True)[at : at + width] for c in ("ids", "mask"))
-
-
-def crc32(ids: bytes) -> int:
-    return zlib.crc32(ids)
+    return batch.column("ids").flatten().slice(at, width), batch.column("mask").flatten().slice(at, width)
