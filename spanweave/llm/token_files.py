@@ -26,6 +26,7 @@ import functools
 import os
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +45,9 @@ CACHE_WORDS = 250_000
 _GAP = re.compile("[\x20\x09-\x0d]+")
 _MARK = re.compile("(?<=[A-Za-zß-öø-ÿ])([.,])(?=[\x20\x09-\x0dA-Za-z]|\\Z)")
 
+#: What ``str.split`` takes for white space besides ``_GAP``, in Latin-1.
+_ODD = "\x1c\x1d\x1e\x1f\x85\xa0"
+
 
 def words_of(text: str) -> list[str]:
     """Parts that are tokenised on their own; lower-cased where that is sure to be the tokenizer's way."""
@@ -51,8 +55,9 @@ def words_of(text: str) -> list[str]:
         text.encode("latin-1")
         text = text.lower()
     except UnicodeEncodeError:
-        pass
-    return _GAP.split(_MARK.sub(r" \1 ", text))
+        return _GAP.split(_MARK.sub(r" \1 ", text))
+    text = _MARK.sub(r" \1 ", text)
+    return _GAP.split(text) if any(c in text for c in _ODD) else text.split()
 
 
 @functools.lru_cache(maxsize=4)
@@ -78,7 +83,7 @@ def word_encoder(tokenizer_path: str):
         for at in range(0, len(missing), 10_000):
             part = missing[at : at + 10_000]
             for word, got in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                young[word] = np.array(got.ids, "<u4").tobytes()
+                young[word] = array("I", got.ids).tobytes()
         out = [b"".join(map(young.__getitem__, words)) for words in split]
         if len(young) > CACHE_WORDS:
             old, young = young, {"": b""}
@@ -158,7 +163,7 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2, seq_
         yield pa.RecordBatch.from_pydict({"file_no": [number], "n_docs": [n_docs], "n_tokens": [start]}, schema=pa.schema([("file_no", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = texts(docs).repartitionByRange(parts, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = texts(docs).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     made = ordered.mapInArrow(run, "file_no bigint, n_docs bigint, n_tokens bigint")
     name = lambda kind: F.format_string(f"{path}/%06d.{kind}.arrow", "file_no")
     return made.select("file_no", name("sequences").alias("sequences"), name("docs").alias("index"), "n_docs", "n_tokens")
