@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import text as T
 
@@ -24,7 +25,7 @@ def read_sessions(spark: SparkSession, path: str) -> DataFrame:
     return q.select("session_id", "session_ord", "query_ord", clean.alias("text"), F.col("q._starttime").alias("starttime"), F.col("q.annotation").alias("annotations"))
 
 
-@F.udf("struct<position:int,word_count:int>")
+@F.udf(StructType([StructField("position", IntegerType()), StructField("word_count", IntegerType())]))
 def _place(span: str, text: str):
     """The span is a pattern, the last match counts; its place is the number of separators before it.  Null where it does not fit."""
     try:
