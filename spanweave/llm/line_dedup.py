@@ -28,7 +28,7 @@ MIN_CHARS = 10
 MIN_DOCS = 2
 _WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_LAST = F.lit(2**63 - 1)
+_LAST = 2**63 - 1
 
 
 def ascii_lower(s: Column) -> Column:
@@ -47,7 +47,7 @@ def _lines(text: Column) -> Column:
 def repeated_keys(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
     """Keyed lines (document, text hash, position, key hash) and the keys of ``min_docs`` documents with their smallest."""
     lines = (
-        docs.select(F.coalesce(F.col("doc_id").cast("bigint"), _LAST).alias("d"), F.xxhash64("text").alias("t"), F.posexplode(_lines(F.col("text"))).alias("p", "line"))
+        docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("d"), F.xxhash64("text").alias("t"), F.posexplode(_lines(F.col("text"))).alias("p", "line"))
         .select("d", "t", "p", line_key(F.col("line")).alias("key"))
         .where(F.char_length("key") >= min_chars)
         .select("d", "t", "p", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
@@ -72,7 +72,7 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
         .agg(F.sort_array(F.collect_set("p")).alias("__drop"))
         .select(F.col("d").alias("__d"), F.col("t").alias("__t"), "__drop")
     )
-    key = docs.select(*own, F.coalesce(F.col("doc_id").cast("bigint"), _LAST).alias("__d"), F.xxhash64("text").alias("__t"))
+    key = docs.select(*own, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("__d"), F.xxhash64("text").alias("__t"))
     joined = key.join(dropped, ["__d", "__t"], "left")
     split = joined.withColumn("__lines", _lines(F.col("text")))
     drop, lines_, n = F.col("__drop"), F.col("__lines"), F.size("__lines")
