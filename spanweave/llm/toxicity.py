@@ -115,7 +115,7 @@ def scorer(spark, model: tuple[np.ndarray, np.ndarray]) -> Callable[[Column], Co
         _, off = string_bytes(text)
         out, at = np.full(len(text), dense[-1]), 0
         while at < len(text):
-            end = max(at + 1, int(np.searchsorted(off, off[at] + 4 * PIECE_BYTES, "right")) - 1)
+            end = max(at + 1, int(np.searchsorted(off, off[at] + PIECE_BYTES, "right")) - 1)
             place, row = features(*string_bytes(text.slice(at, end - at)))
             live = dense[place] != 0
             keys = np.unique((row[live] << BITS) | place[live])
