@@ -48,8 +48,11 @@ def safe_parts(text: str, limit: int = LONG_CHARS) -> Iterator[str]:
     yield text[at:]
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """``doc_id``, ``n_tokens`` and ``ids``: the ids as little-endian unsigned 32-bit integers."""
+def encode(docs: DataFrame, ranks_path: str, pattern: str, and_decode: bool = False) -> DataFrame:
+    """``doc_id``, ``n_tokens`` and ``ids``: the ids as little-endian unsigned 32-bit integers.
+
+    ``and_decode`` adds ``decoded``, the raw bytes of the stored ids, in the same Python worker.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoding(ranks_path, pattern)
@@ -58,12 +61,16 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 parts = [np.array(tokens.encode_ordinary(p), "<u4").tobytes() for p in safe_parts(text or "")]
                 ids.append(b"".join(parts))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                ["doc_id", "n_tokens", "ids"],
-            )
+            columns = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary())}
+            if and_decode:
+                columns["decoded"] = pa.array([_bytes(tokens, x) for x in ids], pa.binary())
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return texts(docs).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary" + ", decoded binary" * and_decode)
+
 
-    return texts(docs).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary")
+def _bytes(tokens, ids: bytes) -> bytes:
+    return tokens.decode_bytes(np.frombuffer(ids, "<u4").tolist())
 
 
 def decode(tokens: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -74,7 +81,7 @@ def decode(tokens: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                raw = [back.decode_bytes(np.frombuffer(x, "<u4").tolist()) for x in batch.column("ids").to_pylist()]
+                raw = [_bytes(back, x) for x in batch.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
 
     return tokens.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary, decoded binary")

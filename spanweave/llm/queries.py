@@ -41,7 +41,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = tokenizer_file("byte_bpe_multi_50k.tiktoken"), bpe_pattern()
-    back = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern)
+    back = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern, and_decode=True)
     return back.select("doc_id", "n_tokens", sha256(F.col("ids")).alias("ids_sha256"), sha256(F.col("decoded")).alias("decoded_sha256"))
 
 
