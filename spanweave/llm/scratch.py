@@ -3,6 +3,8 @@
 ``cut`` writes a frame once as Parquet and reads it back.  That ends its lineage, survives
 lost executors (the files are in the shared folder, not on an executor) and gives both
 sides of a later join a plain exchange, which adaptive execution can split when skewed.
+Once the table is written nothing reads the shuffle files that led to it, so Spark is told
+to delete them then; otherwise they stay on the executors' disks until the driver collects garbage.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LOCAL_ROOTS: dict[str, str] = {}
 
 
@@ -32,9 +35,17 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Materialise ``df`` in the shared folder and read it back."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = fresh_path(spark, name), spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out._spanweave_path = path
     return out
 
