@@ -38,7 +38,7 @@ from pyspark.sql.types import IntegerType
 from .columns import texts
 from .linking import link
 from .minhash import band_keys, signatures
-from .scratch import cut
+from .scratch import cut, discard
 from .words import SHINGLE, mix, pieces, shingle_hashes, string_bytes, word_hashes
 
 MIN_WORDS = 50
@@ -73,6 +73,7 @@ def _around(words: np.ndarray, at: np.ndarray, direction: int, room: np.ndarray)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sub-paragraphs; ``spot`` holds the first word's place, and in five bits each the words before and after that ``l`` and ``r`` describe."""
     for batch in pieces(batches, "text"):
         words, _, _, at = word_hashes(*string_bytes(batch.column("text")))
         if len(words) < MIN_WORDS:
@@ -92,9 +93,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, after = np.minimum(place - at[row], AROUND), np.minimum(at[row + 1] - BLOCK - place, AROUND)
         left, right = _around(words, place - 1, -1, before), _around(words, place + BLOCK, 1, after)
         ids = batch.column("doc_id").take(pa.array(row))
-        arrays = [mix(total).view(np.int64), place - at[row], left.view(np.int64), right.view(np.int64), before * 32 + after]
-        h, place, left, right, room = (pa.array(x) for x in arrays)
-        yield pa.RecordBatch.from_arrays([h, ids, place, left, right, room], ["h", "doc_id", "place", "l", "r", "room"])
+        spot = ((place - at[row]) << 10) | (before << 5) | after
+        h, left, right, spot = (pa.array(x.view(np.int64)) for x in (mix(total), left, right, spot))
+        yield pa.RecordBatch.from_arrays([h, ids, left, right, spot], ["h", "doc_id", "l", "r", "spot"])
 
 
 @arrow_udf(IntegerType())
@@ -110,17 +111,24 @@ def _alike(a: pa.Array, b: pa.Array, room: pa.Array) -> pa.Array:
 
 def repeated_blocks(docs: DataFrame) -> DataFrame:
     """Removals of content-cut sub-paragraphs: ``doc_id``, ``start_word``, ``end_word``, ``keep_doc_id``."""
-    rows = cut(docs.mapInArrow(_blocks, "h bigint, doc_id bigint, place bigint, l bigint, r bigint, room bigint"), "sub-blocks")
-    heads = rows.groupBy("h").agg(F.min("doc_id").alias("keep"), F.max("doc_id").alias("last")).where("keep < last").select("h", "keep")
-    shared = cut(rows.join(cut(heads, "sub-heads"), "h"), "sub-shared")
-    first = shared.where("doc_id = keep").groupBy("h").agg(F.min_by(F.struct("l", "r", "room"), "place").alias("k")).select("h", "k.l", "k.r", "k.room")
-    first = cut(first.toDF("h", "kl", "kr", "kroom"), "sub-first")
+    rows = cut(docs.mapInArrow(_blocks, "h bigint, doc_id bigint, l bigint, r bigint, spot bigint"), "sub-blocks")
+    heads = cut(rows.groupBy("h").agg(F.min("doc_id").alias("keep"), F.max("doc_id").alias("last")).where("keep < last").select("h", "keep"), "sub-heads")
+    shared = cut(rows.join(heads, "h"), "sub-shared")
+    for old in (rows, heads):
+        discard(old)
+    first = shared.where("doc_id = keep").groupBy("h").agg(F.min_by(F.struct("l", "r", "spot"), "spot").alias("k")).select("h", "k.l", "k.r", "k.spot")
+    first = cut(first.toDF("h", "kl", "kr", "kspot"), "sub-first")
     both = shared.where("doc_id <> keep").join(first, "h")
-    side = lambda x, y, z: F.least(z(F.col("room")), z(F.col("kroom")))
-    left = _alike("l", "kl", side("l", "kl", lambda c: F.floor(c / 32)))
-    right = _alike("r", "kr", side("r", "kr", lambda c: c % 32))
-    grown = both.select("doc_id", "place", "keep", left.alias("a"), right.alias("b")).where(F.col("a") + F.col("b") + BLOCK >= MIN_WORDS)
-    return grown.select("doc_id", (F.col("place") - F.col("a")).alias("start_word"), (F.col("place") + BLOCK + F.col("b")).alias("end_word"), F.col("keep").alias("keep_doc_id"))
+    before = lambda c: F.shiftright(c, 5).bitwiseAND(31)
+    after = lambda c: F.col(c).bitwiseAND(31)
+    left = _alike("l", "kl", F.least(before("spot"), before("kspot")))
+    right = _alike("r", "kr", F.least(after("spot"), after("kspot")))
+    grown = both.select("doc_id", F.shiftright("spot", 10).alias("place"), "keep", left.alias("a"), right.alias("b")).where(F.col("a") + F.col("b") + BLOCK >= MIN_WORDS)
+    grown = grown.select("doc_id", (F.col("place") - F.col("a")).alias("start_word"), (F.col("place") + BLOCK + F.col("b")).alias("end_word"), F.col("keep").alias("keep_doc_id"))
+    grown = cut(grown, "sub-grown")
+    for old in (shared, first):
+        discard(old)
+    return grown
 
 
 def _paragraphs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, np.ndarray]]:
@@ -178,7 +186,10 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     kind = cut(kind, "par-named")
     placed = cut(every.select("doc_id", "first", "words", "name", "n").join(kind, ["name", "n"]), "par-placed")
     keep = placed.groupBy("component").agg(F.min("doc_id").alias("keep_doc_id"), F.max("doc_id").alias("last")).where("keep_doc_id < last").select("component", "keep_doc_id")
-    gone = placed.join(cut(keep, "par-keep"), "component").where("doc_id <> keep_doc_id")
+    keep = cut(keep, "par-keep")
+    for old in (every, classes, kind):
+        discard(old)
+    gone = placed.join(keep, "component").where("doc_id <> keep_doc_id")
     return gone.select("doc_id", F.col("first").alias("start_word"), (F.col("first") + F.col("words")).alias("end_word"), "keep_doc_id")
 
 
