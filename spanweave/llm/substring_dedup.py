@@ -72,29 +72,38 @@ def _around(words: np.ndarray, at: np.ndarray, direction: int, room: np.ndarray)
     return out
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sub-paragraphs; ``spot`` holds the first word's place, and in five bits each the words before and after that ``l`` and ``r`` describe."""
-    for batch in pieces(batches, "text"):
-        words, _, _, at = word_hashes(*string_bytes(batch.column("text")))
-        if len(words) < MIN_WORDS:
-            continue
+def _cut_by_content(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, rows' first words, and the hash, first word and row of each sub-paragraph."""
+    words, _, _, at = word_hashes(*string_bytes(batch.column("text")))
+    found = [np.empty(0, np.int64)]
+    if len(words) >= MIN_WORDS:
         key = mix(words[:-1] + words[1:] * np.uint64(0x9E3779B97F4A7C15))
         found = []
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             place = _anchors(key[a : b - 1]) if b - a >= MIN_WORDS else np.empty(0, np.int64)
             found.append(a + place[place <= b - a - BLOCK])
-        each = np.array([len(f) for f in found])
-        place, row = np.concatenate(found), np.repeat(np.arange(len(found)), each)
-        if not len(place):
-            continue
-        total = np.zeros(len(place), np.uint64)
-        for i in range(BLOCK):
-            total += words[place + i] * _BLOCK_MULT[i]
+    place, row = np.concatenate(found), np.repeat(np.arange(len(found)), [len(f) for f in found])
+    total = np.zeros(len(place), np.uint64)
+    for i in range(BLOCK):
+        total += words[place + i] * _BLOCK_MULT[i]
+    return words, at, mix(total), place, row
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches, "text"):
+        _, _, h, _, row = _cut_by_content(batch)
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("doc_id").take(pa.array(row))], ["h", "doc_id"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sub-paragraphs; ``spot`` holds the first word's place, and in five bits each the words before and after that ``l`` and ``r`` describe."""
+    for batch in pieces(batches, "text"):
+        words, at, h, place, row = _cut_by_content(batch)
         before, after = np.minimum(place - at[row], AROUND), np.minimum(at[row + 1] - BLOCK - place, AROUND)
         left, right = _around(words, place - 1, -1, before), _around(words, place + BLOCK, 1, after)
-        ids = batch.column("doc_id").take(pa.array(row))
         spot = ((place - at[row]) << 10) | (before << 5) | after
-        h, left, right, spot = (pa.array(x.view(np.int64)) for x in (mix(total), left, right, spot))
+        ids = batch.column("doc_id").take(pa.array(row))
+        h, left, right, spot = (pa.array(x.view(np.int64)) for x in (h, left, right, spot))
         yield pa.RecordBatch.from_arrays([h, ids, left, right, spot], ["h", "doc_id", "l", "r", "spot"])
 
 
@@ -110,12 +119,15 @@ def _alike(a: pa.Array, b: pa.Array, room: pa.Array) -> pa.Array:
 
 
 def repeated_blocks(docs: DataFrame) -> DataFrame:
-    """Removals of content-cut sub-paragraphs: ``doc_id``, ``start_word``, ``end_word``, ``keep_doc_id``."""
-    rows = cut(docs.mapInArrow(_blocks, "h bigint, doc_id bigint, l bigint, r bigint, spot bigint"), "sub-blocks")
-    heads = cut(rows.groupBy("h").agg(F.min("doc_id").alias("keep"), F.max("doc_id").alias("last")).where("keep < last").select("h", "keep"), "sub-heads")
+    """Removals of content-cut sub-paragraphs: ``doc_id``, ``start_word``, ``end_word``, ``keep_doc_id``.
+
+    Texts are read twice, first for hashes alone: storing every sub-paragraph in between takes nearly the disk of the texts.
+    """
+    keys = docs.mapInArrow(_keys, "h bigint, doc_id bigint")
+    heads = cut(keys.groupBy("h").agg(F.min("doc_id").alias("keep"), F.max("doc_id").alias("last")).where("keep < last").select("h", "keep"), "sub-heads")
+    rows = docs.mapInArrow(_blocks, "h bigint, doc_id bigint, l bigint, r bigint, spot bigint")
     shared = cut(rows.join(heads, "h"), "sub-shared")
-    for old in (rows, heads):
-        discard(old)
+    discard(heads)
     first = shared.where("doc_id = keep").groupBy("h").agg(F.min_by(F.struct("l", "r", "spot"), "spot").alias("k")).select("h", "k.l", "k.r", "k.spot")
     first = cut(first.toDF("h", "kl", "kr", "kspot"), "sub-first")
     both = shared.where("doc_id <> keep").join(first, "h")
