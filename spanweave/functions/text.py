@@ -69,6 +69,24 @@ def nounify(word: Column) -> Column:
     return out
 
 
+def noun_phrases(words: Column) -> Column:
+    """Noun phrases of tagged words, each joined by a blank: adjectives and nouns that end in a noun, and two of them around a preposition.
+
+    Words must hold neither blanks nor slashes.  The words are written with one letter for their tag, and a pattern finds the phrases.
+    """
+    kind = lambda w: F.when(tag(w) == "JJ", "J").when(tag(w).startswith("NN"), "N").when(tag(w) == "IN", "I").otherwise("O")
+    line = F.array_join(F.transform(words, lambda w: F.concat(w, F.lit("/"), kind(w), F.lit(" "))), "")
+    bar = "(?:[^ /]+/[JN] )*[^ /]+/N "
+    found = F.regexp_extract_all(line, F.lit(f"{bar}(?:[^ /]+/I {bar})?"), F.lit(0))
+    return F.transform(found, lambda p: F.trim(F.regexp_replace(p, "/[JNI] ", " ")))
+
+
+def chunks(words: Column) -> Column:
+    """Runs of words between prepositions and determiners, each joined by a blank."""
+    cut = F.transform(words, lambda w: F.when(tag(w).isin("IN", "DT"), "\n").otherwise(w))
+    return F.filter(F.transform(F.split(F.array_join(cut, " "), "\n"), lambda p: F.trim(p)), lambda p: p != "")
+
+
 def hard_fix(s: Column) -> Column:
     """Soft-fixed words: nouns to singular, adjectives and verbs to their noun if there is one."""
     words = split_words(soft_fix(s))

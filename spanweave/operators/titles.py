@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.stage import stage
 
 
 def resolve(titles: DataFrame, redirects: DataFrame) -> DataFrame:
@@ -118,6 +121,46 @@ def unexplained(tokens: Column, title: Column) -> Column:
     return F.when(F.size(rest) == F.size(tokens), F.array().cast("array<string>")).otherwise(rest)
 
 
+def _spaced(titles: DataFrame) -> DataFrame:
+    return titles.select(F.col("page_id").alias("doc_id"), F.replace("title", F.lit("_"), F.lit(" ")).alias("text"))
+
+
+def cascade(queries: DataFrame, titles: DataFrame, redirects: DataFrame) -> DataFrame:
+    """The first of: whole text as a title, all words in a title, any word in a title re-ranked.
+
+    ``query_id``, ``page_id`` and ``method`` (``title``, ``all``, ``any``); queries without a match have no row.
+    ``queries`` has ``query_id``, ``text`` and ``words``; each step works on what those before left.
+    """
+    left = lambda done: queries.join(done.select("query_id"), "query_id", "left_anti")
+    named = lambda df, c, m: df.select("query_id", F.col(c).alias("page_id"), F.lit(m).alias("method"))
+    posts = postings(_spaced(titles))
+    done = stage(named(match_title(queries.select("query_id", "text"), titles, redirects), "page_id", "title"), "cascade-title")
+    done = stage(done.unionByName(named(best(full_text(left(done), posts, True)), "doc_id", "all")), "cascade-all")
+    rest = left(done)
+    return done.unionByName(named(rescore(rest, full_text(rest, posts, False), titles), "doc_id", "any"))
+
+
+def greedy(queries: DataFrame, titles: DataFrame, redirects: DataFrame) -> DataFrame:
+    """Titles that explain a query word by word: ``query_id``, ``round``, ``page_id``.
+
+    Round 0 is a title equal or near to the whole text.  Else the best title by all words that holds
+    one of the open words is taken, the words it explains close, and open words of over three letters
+    go on.  Each round closes a word or ends its query, so rounds are at most a query's words.
+    """
+    posts = stage(postings(_spaced(titles)), "greedy-posts")
+    found = match_title(queries.select("query_id", "text"), titles, redirects)
+    done = stage(found.select("query_id", F.lit(0).alias("round"), "page_id"), "greedy-whole")
+    live = queries.select("query_id", "words", F.col("words").alias("open")).join(done.select("query_id"), "query_id", "left_anti")
+    for k in count(1):
+        live = stage(live, "greedy-open")
+        if live.isEmpty():
+            return done
+        hit = stage(best(full_text(live, posts, False, "open")).select("query_id", F.col("doc_id").alias("page_id")), "greedy-hit")
+        done = done.unionByName(hit.select("query_id", F.lit(k).alias("round"), "page_id"))
+        rest = F.filter(unexplained(F.col("open"), F.col("title")), lambda t: F.length(t) > 3)
+        live = live.join(hit, "query_id").join(titles.select("page_id", "title"), "page_id").select("query_id", "words", rest.alias("open")).where(F.size("open") > 0)
+
+
 def spell(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Unknown words of over three letters with one neighbour in the vocabulary become it: ``word``, ``fixed``."""
     known = vocabulary.select(F.col("word").alias("key")).distinct()

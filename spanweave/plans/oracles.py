@@ -137,6 +137,13 @@ _QUERIES = {
     "stopwords": "SELECT item_id, array_to_string(list_filter(string_split(lower(text), ' '), lambda t: t NOT IN ('the', 'of', 'de')), ' ') AS kept FROM bench",
     "acceptable_words": "SELECT item_id, CAST(i AS INTEGER) AS i, w[i + 1] AS word FROM bench, unnest(range(0, len(w))) t(i) WHERE length(w[i + 1]) BETWEEN 2 AND 40 AND lower(w[i + 1]) NOT IN ('a','the','of','in','with','to','for','by','and','or','is','was','be')",
     "soft_fix": "SELECT item_id, lower(trim(translate(replace(replace(replace(replace(text, '''', ' '), ' s ', ' '), ' s', ' '), 's ', ' '), '!:,''\"?', ''))) AS fixed FROM bench",
+    "noun_phrases": f"""SELECT * FROM (
+        WITH w AS (SELECT item_id, t, i, CASE WHEN t IN ('of','in','with','to','for','by') THEN 'I' WHEN t IN ('a','the') THEN 'D' WHEN t IN ('and','or','is','was','be') THEN 'O'
+            WHEN {_TAG} = 'JJ' THEN 'J' WHEN {_TAG} LIKE 'NN%' THEN 'N' ELSE 'O' END AS k
+          FROM (SELECT item_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM (SELECT item_id, list_filter(string_split_regex(regexp_replace(lower(text), '[[:punct:]]', '', 'g'), '\\s+'), lambda x: x <> '') AS l FROM bench))),
+        line AS (SELECT item_id, string_agg(t || '/' || k || ' ', '' ORDER BY i) AS s, string_agg(CASE WHEN k IN ('I', 'D') THEN chr(10) ELSE t END, ' ' ORDER BY i) AS c FROM w GROUP BY item_id)
+        SELECT item_id, array_to_string(list_transform(regexp_extract_all(s, '(?:[^ /]+/[JN] )*[^ /]+/N (?:[^ /]+/I (?:[^ /]+/[JN] )*[^ /]+/N )?'), lambda p: trim(regexp_replace(p, '/[JNI] ', ' ', 'g'))), '|') AS phrases,
+          array_to_string(list_filter(list_transform(string_split(c, chr(10)), lambda p: trim(p)), lambda p: p <> ''), '|') AS chunks FROM line)""",
     "homogeneity": f"SELECT query_id, greatest(1.5 - count(DISTINCT {_TAG}) / 2.0::DOUBLE, 0) AS homogeneity FROM (SELECT query_id, unnest(w) AS t FROM q) GROUP BY query_id",
     "segment_score": "SELECT query_id, position, word_count, round(3.0::DOUBLE * word_count + 3.0::DOUBLE / n_cands + 3.0::DOUBLE * p0, 6) AS score FROM cand",
     "segmentations": "SELECT query_id, array_to_string(list_transform(range(0, len(w)), lambda i: CASE WHEN i = 0 THEN w[1] ELSE (CASE WHEN (m >> (i - 1)) & 1 = 1 THEN '|' ELSE ' ' END) || w[i + 1] END), '') AS cut FROM q, unnest(range(0, CAST(pow(2, len(w) - 1) AS BIGINT))) t(m) WHERE len(w) <= 8",

@@ -208,6 +208,12 @@ def hard_fix(x):
     return x.dictionary.select("surface").distinct().select("surface", T.hard_fix(F.concat(F.lit("The "), F.col("surface"), F.lit("'s!"))).alias("fixed"))
 
 
+@query
+def noun_phrases(x):
+    w = tables.load(x.spark, x.sf_dir, "benchmark").select("item_id", titles.words_of(F.col("text")).alias("w"))
+    return w.select("item_id", F.array_join(T.noun_phrases(F.col("w")), "|").alias("phrases"), F.array_join(T.chunks(F.col("w")), "|").alias("chunks"))
+
+
 @query
 def homogeneity(x):
     t = F.size(F.array_distinct(F.transform("tokens", T.tag)))
@@ -287,6 +293,16 @@ def ft_or_best(x):
     return titles.best(titles.full_text(_word_queries(x), _title_posts(x), False))
 
 
+@query
+def title_cascade(x):
+    return titles.cascade(_word_queries(x), tables.titles(x.spark, x.sf_dir), tables.redirects(x.spark, x.sf_dir))
+
+
+@query
+def title_greedy(x):
+    return titles.greedy(_word_queries(x), tables.titles(x.spark, x.sf_dir), tables.redirects(x.spark, x.sf_dir))
+
+
 @query
 def title_rescore(x):
     return titles.rescore(_word_queries(x), titles.full_text(_word_queries(x), _title_posts(x), False), tables.titles(x.spark, x.sf_dir))

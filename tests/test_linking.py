@@ -3,15 +3,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanweave.functions import text as T
-from spanweave.operators import knowledge, scoring, segment, voting
+from spanweave.operators import knowledge, scoring, segment, titles, voting
 from spanweave.plans import oracles
 from spanweave.plans import queries as linking
+from spanweave.sources import sessions_xml, sheet, sinks
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation supplier part orders lineitem pages benchmark".split()
 
 
-@pytest.mark.parametrize("name", ["overlap_resolve", "baseline_f1", "choose_epsilon", "prune", "dp_choice", "query_diff", "title_match", "kb_lookup", "soft_fix"])
+@pytest.mark.parametrize("name", ["overlap_resolve", "baseline_f1", "choose_epsilon", "prune", "dp_choice", "query_diff", "title_match", "kb_lookup", "soft_fix", "noun_phrases"])
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -76,3 +77,60 @@ def test_prune_unsets_by_place_among_the_chosen(spark):
     left = lambda compat: [r.chosen for r in voting.prune(m, rel, 0.3, compat)[0].orderBy("ord").collect()]
     assert left(True) == [-1, -1, 0]
     assert left(False) == [-1, 0, -1]
+
+
+TITLES = [(1, "Red_apple_pie"), (2, "Apple"), (3, "Blue_river_bank"), (4, "River_song")]
+
+
+def title_frames(spark, texts):
+    queries = spark.createDataFrame([(i, t, t.split()) for i, t in enumerate(texts)], "query_id long, text string, words array<string>")
+    return queries, spark.createDataFrame(TITLES, "page_id long, title string"), spark.createDataFrame([], "rd_from long, rd_title string")
+
+
+def test_title_cascade(spark):
+    got = titles.cascade(*title_frames(spark, ["red apple pies", "pie red", "nice river songs", "nothing"])).collect()
+    assert {(r.query_id, r.page_id, r.method) for r in got} == {(0, 1, "title"), (1, 1, "all"), (2, 4, "any")}
+
+
+def test_titles_taken_greedily(spark):
+    got = titles.greedy(*title_frames(spark, ["apple", "song river apple", "nothing here"])).collect()
+    assert {(r.query_id, r.round, r.page_id) for r in got} == {(0, 0, 2), (1, 1, 4), (1, 2, 2)}
+
+
+def test_noun_phrases(spark):
+    words = F.array(*map(F.lit, "the old bank of blue rivers was flooded".split()))
+    assert one(spark, T.noun_phrases(words)) == ["old bank of blue rivers"]
+    assert one(spark, T.chunks(words)) == ["old bank", "blue rivers was flooded"]
+
+
+def test_sheet(spark, tmp_path):
+    import zipfile
+    import xml.etree.ElementTree as ET
+
+    queries = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["<d>"])], "query_id long, words array<string>")
+    spans = spark.createDataFrame([(1, 1, 2, "B_C", "strict"), (1, 2, 1, "C", "wrong")], "query_id long, position int, word_count int, link string, rating string")
+    sheet.export_sheet(queries, spans, spans.limit(0), str(tmp_path / "x.ods"))
+    root = ET.fromstring(zipfile.ZipFile(tmp_path / "x.ods").read("content.xml"))
+    lines = [[c.findtext(".//{*}p") for c in r if "covered" not in c.tag] for r in root.iter("{urn:oasis:names:tc:opendocument:xmlns:table:1.0}table-row")]
+    assert lines == [[""], ["a", "b", "c"], ["-", "B_C"], ["-", "-", "-"], [""], ["<d>"], ["-"], ["-"]]
+
+SESSIONS = """<webscope><session id="s1"><query starttime="x"><text>big "red" apple's pie</text>
+<annotation main="true"><span>apple's pie</span><target wiki-id="1">http://en.wikipedia.org/wiki/Apple_pie</target></annotation><annotation><span>big</span></annotation></query>
+<query starttime="2"><text>plain</text></query></session>
+<session id="s1"><query starttime="3"><text>big apple</text><annotation><span>pear</span><target wiki-id="2">http://en.wikipedia.org/wiki/Pear</target></annotation>
+<annotation><span>apple</span><target wiki-id="3">http://en.wikipedia.org/wiki/Apple</target></annotation></query></session></webscope>"""
+
+
+def test_sessions_read(spark, tmp_path):
+    (tmp_path / "s.xml").write_text(SESSIONS)
+    queries = sessions_xml.read_sessions(spark, str(tmp_path / "s.xml"))
+    assert sorted((r.session_ord, r.query_ord, r.session_id, r.text) for r in queries.collect()) == [(0, 0, "s1", "big red apple's pie"), (0, 1, "s1", "plain"), (1, 0, "s1", "big apple")]
+    gold = sessions_xml.gold_spans(queries).collect()
+    assert [(r.session_ord, r.position, r.word_count, r.substring, r.link) for r in gold] == [(0, 2, 2, "apple's pie", "Apple_pie")]
+
+
+def test_sessions_written(spark, tmp_path):
+    rows = spark.createDataFrame([("s1", [("a & b",)])], "_id string, query array<struct<text:string>>")
+    sinks.write_sessions_xml(rows, str(tmp_path / "out"))
+    back = sessions_xml.read_sessions(spark, str(tmp_path / "out")).collect()
+    assert [(r.session_id, r.text) for r in back] == [("s1", "a & b")]
