@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,3 +111,55 @@ def query_diff(queries: DataFrame, sessions: DataFrame) -> DataFrame:
     rows = queries.join(sessions, "query_id").withColumn("prev", F.lag("tokens").over(w))
     new = F.when(F.col("prev").isNull(), F.array().cast("array<string>")).otherwise(F.filter("tokens", lambda t: ~F.array_contains("prev", t)))
     return rows.select("query_id", "session_id", "query_ord", new.alias("new_words"))
+
+
+_LOW_BITS = 12
+
+
+def _parts(queries: DataFrame, bits: Column) -> DataFrame:
+    """Each query once for every number ``high`` that its ``bits`` less the ``_LOW_BITS`` last can hold, dealt over all tasks.
+
+    So no row holds an array of all 2^bits choices, and those of one long query are made in many tasks.
+    """
+    last = F.pow(F.lit(2), F.greatest(bits - _LOW_BITS, F.lit(0))).cast("bigint") - 1
+    parts = queries.where(F.size("tokens") > 0).select("query_id", "tokens", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("high"))
+    return parts.repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Scalar, list[str], int]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.column("query_id")[i], batch.column("tokens")[i].as_py(), batch.column("high")[i].as_py()
+
+
+def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bits of ``high`` are the first gaps; the others double the strings."""
+    for query, words, high in _rows(batches):
+        fixed = max(0, len(words) - 1 - _LOW_BITS)
+        head = words[0] + "".join(" |"[high >> i & 1] + words[i + 1] for i in range(fixed))
+        made = pa.array([head])
+        for w in words[fixed + 1 :]:
+            made = pa.concat_arrays([pc.binary_join_element_wise(made, w, gap) for gap in " |"])
+        yield pa.RecordBatch.from_arrays([pa.repeat(query, len(made)), made], ["query_id", "cut"])
+
+
+def _choices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bits of ``high`` are the first words; the others double the strings.  Each word brings the blank before it."""
+    for query, words, high in _rows(batches):
+        fixed = max(0, len(words) - _LOW_BITS)
+        made = pa.array(["".join(" " + words[i] for i in range(fixed) if high >> i & 1)])
+        for w in words[fixed:]:
+            made = pa.concat_arrays([made, pc.binary_join_element_wise(made, w, " ")])
+        made = (made if high else made[1:]).value_counts()
+        text = pc.utf8_slice_codeunits(made.field("values"), 1)
+        yield pa.RecordBatch.from_arrays([pa.repeat(query, len(text)), text, made.field("counts")], ["query_id", "words", "n"])
+
+
+def segmentation_rows(queries: DataFrame) -> DataFrame:
+    """All 2^(n-1) ways to cut a query of n tokens: ``query_id``, ``cut``."""
+    return _parts(queries, F.size("tokens") - 1).mapInArrow(_cuts, "query_id bigint, cut string")
+
+
+def subset_rows(queries: DataFrame) -> DataFrame:
+    """All 2^n - 1 non-empty choices of a query's n tokens, equal ones counted: ``query_id``, ``words``, ``n``."""
+    return _parts(queries, F.size("tokens")).mapInArrow(_choices, "query_id bigint, words string, n bigint").groupBy("query_id", "words").agg(F.sum("n").alias("n"))

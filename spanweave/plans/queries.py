@@ -227,14 +227,12 @@ def segment_score(x):
 
 @query
 def segmentations(x):
-    q = x.queries.where(F.size("tokens") <= 8)
-    return q.select("query_id", F.explode(T.segmentations(F.col("tokens"))).alias("cut"))
+    return segment.segmentation_rows(x.queries)
 
 
 @query
 def word_subsets(x):
-    q = x.queries.where(F.size("tokens") <= 6)
-    return q.select("query_id", F.explode(T.subsets(F.col("tokens"))).alias("words")).groupBy("query_id", "words").agg(F.count("*").alias("n"))
+    return segment.subset_rows(x.queries)
 
 
 @query
