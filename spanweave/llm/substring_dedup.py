@@ -11,9 +11,11 @@ A passage may also be glued into the middle of other paragraphs, where no paragr
 For these, words are cut by content: in every ``SPREAD`` places in a row the one of the
 smallest hash is an anchor, and the ``BLOCK`` words from there are a sub-paragraph.  Any
 shared passage of SPREAD + BLOCK - 1 = 49 words holds a whole one.  Equal sub-paragraphs of
-different documents are joined with the one in the smallest document only, and grown
+different documents are joined with the first one in the smallest document, and grown
 to either side by hashes of the 21 words around (3 bits a word, so a border may lie a word
-too far); those of at least ``MIN_WORDS`` words in all are repeats.
+too far); those of at least ``MIN_WORDS`` words in all are repeats.  Those that differ from
+it nearby are grouped again by block and context (``_regrouped``), so that a short copy in
+the smallest document hides no longer passage of others.
 
 Result rows are removals: ``doc_id``, ``start_word``, ``end_word`` (words are runs without
 ``[\\x20\\x09-\\x0D]``, end exclusive), ``keep_doc_id`` and ``kind``.  Overlapping removals of
@@ -43,6 +45,7 @@ from .words import SHINGLE, mix, pieces, shingle_hashes, string_bytes, word_hash
 
 MIN_WORDS = 50
 BLOCK, SPREAD, AROUND = 30, 20, 21
+REST = MIN_WORDS - BLOCK
 BANDS, ROWS = 14, 3
 LIMIT = 80
 _BLOCK_MULT = np.random.default_rng(5).integers(1, 2**63, BLOCK, dtype=np.uint64) | np.uint64(1)
@@ -130,19 +133,44 @@ def repeated_blocks(docs: DataFrame) -> DataFrame:
     discard(heads)
     first = shared.where("doc_id = keep").groupBy("h").agg(F.min_by(F.struct("l", "r", "spot"), "spot").alias("k")).select("h", "k.l", "k.r", "k.spot")
     first = cut(first.toDF("h", "kl", "kr", "kspot"), "sub-first")
-    both = shared.where("doc_id <> keep").join(first, "h")
+    other = (F.col("doc_id") != F.col("keep")) | (F.col("spot") != F.col("kspot")) | (F.col("l") != F.col("kl")) | (F.col("r") != F.col("kr"))
+    both = shared.join(first, "h").where(other)
     before = lambda c: F.shiftright(c, 5).bitwiseAND(31)
     after = lambda c: F.col(c).bitwiseAND(31)
     left = _alike("l", "kl", F.least(before("spot"), before("kspot")))
     right = _alike("r", "kr", F.least(after("spot"), after("kspot")))
-    grown = both.select("doc_id", F.shiftright("spot", 10).alias("place"), "keep", left.alias("a"), right.alias("b")).where(F.col("a") + F.col("b") + BLOCK >= MIN_WORDS)
-    grown = grown.select("doc_id", (F.col("place") - F.col("a")).alias("start_word"), (F.col("place") + BLOCK + F.col("b")).alias("end_word"), F.col("keep").alias("keep_doc_id"))
-    grown = cut(grown, "sub-grown")
+    matched = both.select("doc_id", "keep", "spot", left.alias("a"), right.alias("b"), "h", "l", "r")
+    unlike = F.least("a", "b") < REST
+    matched = cut(matched.select("doc_id", "keep", "spot", "a", "b", *[F.when(unlike, F.col(c)).alias(c) for c in ("h", "l", "r")]), "sub-matched")
     for old in (shared, first):
         discard(old)
+    place = F.shiftright("spot", 10)
+    heads = matched.where((F.col("doc_id") != F.col("keep")) & (F.col("a") + F.col("b") >= REST))
+    heads = heads.select("doc_id", (place - F.col("a")).alias("start_word"), (place + BLOCK + F.col("b")).alias("end_word"), F.col("keep").alias("keep_doc_id"))
+    grown = cut(heads.unionByName(_regrouped(matched.where("h IS NOT NULL").select("h", "doc_id", "l", "r", "spot"))), "sub-grown")
+    discard(matched)
     return grown
 
 
+def _regrouped(rows: DataFrame) -> DataFrame:
+    """Removals by partners other than the head, of occurrences that differ from it within ``REST`` words on a side.
+
+    Two that share MIN_WORDS words around a block agree in ``i`` words before and ``REST - i`` after
+    it, for one ``i`` at least.  Occurrences are grouped by that context for every ``i`` and the smallest
+    document of a group is kept, so each meets a partner and no group is squared.  One that is like the head
+    for REST words on both sides has nothing in common with these but what the head has.
+    """
+    several = cut(rows.groupBy("h").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("h"), "sub-several")
+    rows = cut(rows.join(several, "h", "left_semi"), "sub-open")
+    first = lambda c, n: F.col(c).bitwiseAND(F.lit((1 << (3 * n)) - 1))
+    fits = lambda i: (F.shiftright("spot", 5).bitwiseAND(31) >= i) & (F.col("spot").bitwiseAND(31) >= REST - i)
+    one = lambda i: F.when(fits(i), F.struct(F.lit(i).alias("i"), F.xxhash64("h", F.lit(i), first("l", i), first("r", REST - i)).alias("key")))
+    keyed = rows.select("doc_id", F.shiftright("spot", 10).alias("place"), F.inline(F.array_compact(F.array(*map(one, range(REST + 1))))))
+    keep = cut(keyed.groupBy("key").agg(F.min("doc_id").alias("keep"), F.max("doc_id").alias("last")).where("keep < last").select("key", "keep"), "sub-keep")
+    met = keyed.join(keep, "key").where("doc_id <> keep").groupBy("doc_id", "place").agg(F.max("i").alias("a"), F.min("i").alias("z"), F.min("keep").alias("keep_doc_id"))
+    return met.select("doc_id", (F.col("place") - F.col("a")).alias("start_word"), (F.col("place") + BLOCK + REST - F.col("z")).alias("end_word"), "keep_doc_id")
+
+
 def _paragraphs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, np.ndarray]]:
     """Document, first word, number of words and shingle set of each long line."""
     data, off = string_bytes(batch.column("text"))

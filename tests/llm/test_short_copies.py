@@ -1,0 +1,25 @@
+"""A short copy in the smallest document hides no passage that others share."""
+
+import random
+
+import pytest
+
+from spanweave.llm import substring_dedup
+
+
+@pytest.mark.parametrize("shared,short,quote", [(55, 49, False), (52, 49, False), (60, 40, True)])
+def test_short_copy_in_the_smallest_document(spark, shared, short, quote):
+    rng, docs, spans = random.Random(shared), [], {}
+    word = lambda: f"v{rng.randrange(10**9)}"
+    some = lambda n: [word() for _ in range(n)]
+    for k in range(12):
+        passage, at = some(shared), rng.randrange(shared - short + 1)
+        texts = [some(25) + passage[at : at + short] + some(25), some(30) + passage + some(30), some(40) + passage + some(22)]
+        if quote:
+            texts = [texts[0] + passage + some(25), texts[1]]
+        docs += [(10 * k + i, " ".join(t)) for i, t in enumerate(texts)]
+        spans[10 * k + len(texts) - 1] = (40, 40 + shared) if not quote else (30, 30 + shared)
+    got = substring_dedup.substring_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got} == set(spans) if quote else set(spans) <= {r.doc_id for r in got}
+    for i, (a, b) in spans.items():
+        assert any(r.doc_id == i and a - 3 <= r.start_word <= a and b <= r.end_word <= b + 3 for r in got), (i, a, b, got)
