@@ -66,10 +66,10 @@ def relatedness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``page_id``, ``title`` of pages whose title is plain ASCII, blanks as underscores."""
-    title = F.regexp_extract("html", "<title>(.*?)</title>", 1)
+    """``page_id``, ``title`` of pages that have one, in any letters, blanks as underscores."""
+    title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
     got = load(spark, sf_dir, "pages").select("page_id", F.replace(title, F.lit(" "), F.lit("_")).alias("title"))
-    return got.where(F.col("title").rlike("^[!-~]+$"))
+    return got.where("title <> ''")
 
 
 def redirects(spark: SparkSession, sf_dir: str) -> DataFrame:

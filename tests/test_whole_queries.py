@@ -42,3 +42,37 @@ def test_masks_of_more_than_the_low_bits(spark):
     assert segment.segmentation_rows(q).distinct().count() == 2**14
     got = segment.subset_rows(q).agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
     assert (got.rows, got.n) == (2**15 - 1, 2**15 - 1)
+
+
+PAGES = {1: "Über Straßen", 2: "Año Nuevo", 3: "Café au lait", 4: "Plain title", 5: "Ünder", 6: "naïve", 8: ""}
+
+
+@pytest.fixture(scope="module")
+def pages(spark, tmp_path_factory):
+    at = tmp_path_factory.mktemp("pages")
+    spark.createDataFrame([(i, f"<html><title>{t}</title></html>") for i, t in PAGES.items()] + [(7, "none")], "page_id long, html string").write.parquet(str(at / "pages.parquet"))
+    return str(at)
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_titles_in_any_letters(spark, pages):
+    name = {i: t.replace(" ", "_") for i, t in PAGES.items() if t}
+    to = {i: name[i + 1] if i % 5 == 0 else t for i, t in name.items()}
+    got = linking.QUERIES["redirect_resolve"](spark, pages).collect()
+    assert {(r.page_id, r.title, r.resolved) for r in got} == {(i, t, to[i]) for i, t in name.items()}
+    key = {i: t.replace("_", " ").lower() for i, t in name.items()}
+    want = set()
+    for i, k in key.items():
+        text = k if i % 3 == 0 else k[:-1] if i % 3 == 1 else k + "xyz"
+        d, page = min((distance(text, x), p) for p, x in key.items())
+        if d <= 2:
+            want.add((i, page, d, to[page]))
+    assert {tuple(r) for r in linking.QUERIES["title_match"](spark, pages).collect()} == want and want
