@@ -70,6 +70,11 @@ def _power(n: int) -> np.ndarray:
 _POW = _power(256)
 
 
+def powers(n: int) -> np.ndarray:
+    """The first ``n`` or more powers of the base."""
+    return _POW if n <= len(_POW) else _power(n)
+
+
 def _spans(data: np.ndarray, cuts: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, starts and ends of words of one piece; ``cuts`` are positions where rows start."""
     solid = ~gaps[data]
@@ -87,8 +92,7 @@ def _spans(data: np.ndarray, cuts: np.ndarray, gaps: np.ndarray) -> tuple[np.nda
     last[cuts[cuts > 0] - 1] = True
     ends = np.flatnonzero(solid & last) + 1
     lengths = ends - starts
-    longest = int(lengths.max())
-    table = _POW if longest <= len(_POW) else _power(longest)
+    table = powers(int(lengths.max()))
     at = np.cumsum(lengths) - lengths
     where = np.arange(int(lengths.sum())) - np.repeat(at, lengths)
     parts = _BYTE_LOWER[data[solid]] * table[where]
