@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -18,3 +20,16 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
 def sha256(col) -> "F.Column":
     """Lowercase hex digest of a string's UTF-8 bytes or of a binary column."""
     return F.sha2(col, 256)
+
+
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one, that no column of ``df`` has in any letter case."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name

@@ -1,21 +1,26 @@
 """Operator 4 (DataFrame functions only): benchmark decontamination by templates.
 
-Text becomes a template: numbers, units after numbers and names (capitalised words inside a
-sentence) are typed placeholders, the other words are lower-cased letter runs; punctuation
-does not count.  Windows of five template words are hashed and joined with the benchmark's.
-Matches of an item in a document are grouped by diagonal (place in the document less place
-in the item).  A diagonal counts if its slots are consistent: each number, name or unit of
-the item stands for one value of the document there and the reverse, so a question with
-other numbers or names is caught and an accidental frame is not.  A document is contaminated
-by an item if matched windows on consistent diagonals are at least 0.8 of the item's.
-
-The windows of the benchmark are counted; up to ``BROADCAST_WINDOWS`` (24 bytes each) they
-are broadcast and the documents' windows are never shuffled.  Beyond it the same join
-shuffles both sides.  Documents' slot values are only made for rows that match.
-
-Items of fewer than five template words match nothing, and neither do null or empty texts.
-Repeated items or documents count once; a null id is a value of its own.  Very long texts
-give many windows, one row each.  Other columns are not read; ``decontaminate`` keeps them.
+Text becomes a template: numbers, units after numbers and names (capitalised words, those that
+begin a sentence too) are typed placeholders, the other words are lower-cased letter runs;
+punctuation does not count.  Windows of five words are hashed in two readings, as template and
+as the lower-cased words themselves, and joined with the benchmark's; so a question with other
+numbers or names is met by the first, one in other letter case by the second.
+
+Matches of an item in a document are grouped by diagonal (place in the document less place in
+the item).  On a diagonal each number, name or unit of the item must stand for one value of the
+document, the most frequent (the greatest of equals); windows with another value do not count.
+A document is contaminated by an item if the words in matched windows, on whatever diagonals,
+are at least 0.8 of the item's, so one changed word costs itself and not five windows.
+
+The windows of the benchmark are counted; up to ``BROADCAST_WINDOWS`` (24 bytes each) they are
+broadcast and the documents' windows are never shuffled.  Beyond it only (text, place, hash) of
+each window is shuffled, and the texts with a match are joined once to read their words.
+Both ways give the same rows.  A document's words are cut out once, whatever its matches.
+
+Items of fewer than five words match nothing, and neither do null or empty texts.  Repeated
+items or documents count once; a null id is a value of its own.  Very long texts give many
+windows, one row each.  Empty tables give no rows.  Other columns are not read; ``decontaminate``
+keeps them and drops all rows of a contaminated ``doc_id``.
 """
 
 from __future__ import annotations
@@ -23,8 +28,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import texts
-from .scratch import cut
+from .columns import let, texts
+from .scratch import cut, discard
 
 WINDOW = 5
 SHARE_PERCENT = 80
@@ -33,60 +38,87 @@ BROADCAST_WINDOWS = 500_000
 UNITS = "km|m|cm|mm|kg|g|mg|l|ml|s|ms|min|h|hours|hour|minutes|minute|seconds|second|days|day|weeks|week|months|month|years|year|miles|mile|meters|meter|feet|foot|inches|inch|pounds|pound|dollars|dollar|euros|euro|cents|cent|percent|liters|liter|grams|gram|degrees|degree"
 NUMBER = r"\p{N}+(?:[.,:/]\p{N}+)*"
 WORD = r"[\p{L}\p{M}]+"
-NAME = r"([\p{Ll},;:>] )\p{Lu}\p{Ll}+([^\p{L}\p{M}\p{N}]|\z)"
-RAW_TOKEN = NUMBER + "|" + WORD
-TEMPLATE_TOKEN = "<num>|<unit>|<name>|" + WORD
+NAME = r"^\p{Lu}\p{Ll}+$"
 
 
-def template(text: Column) -> Column:
-    """Template words of a text, one for each raw word or number."""
-    named = F.regexp_replace(F.regexp_replace(text, NAME, "$1<name>$2"), NAME, "$1<name>$2")
-    numbered = F.regexp_replace(named, NUMBER, "<num>")
-    measured = F.regexp_replace(numbered, f"<num>( ?)(?:{UNITS})([^\\p{{L}}\\p{{M}}\\p{{N}}]|\\z)", "<num>$1<unit>$2")
-    return F.regexp_extract_all(F.lower(measured), F.lit(TEMPLATE_TOKEN), F.lit(0))
+def raw_words(text: Column) -> Column:
+    """Words and numbers in their own letter case."""
+    return F.regexp_extract_all(text, F.lit(f"{NUMBER}|{WORD}"), F.lit(0))
 
 
-def raw_words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(RAW_TOKEN), F.lit(0))
+def template(words: Column) -> Column:
+    """Template words of raw words."""
+    number = lambda w: w.rlike(r"^\p{N}")
+    unit = lambda w, i: (i > 0) & number(F.coalesce(F.get(words, i - 1), F.lit(""))) & F.lower(w).isin(UNITS.split("|"))
+    return F.transform(words, lambda w, i: F.when(number(w), "<num>").when(w.rlike(NAME), "<name>").when(unit(w, i), "<unit>").otherwise(F.lower(w)))
+
+
+def _windows(hashes: Column) -> Column:
+    """Of a value that is bound: it is read once for each place."""
+    return F.transform(F.sequence(F.lit(0), F.size(hashes) - WINDOW), lambda i: F.xxhash64(*(F.get(hashes, i + j) for j in range(WINDOW))))
 
 
 def window_hashes(words: Column) -> Column:
-    """Hash of each window by its place; empty for fewer than ``WINDOW`` words."""
-    let = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
-    each = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(WINDOW))))
-    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.when(F.size(h) >= WINDOW, each(h)).otherwise(F.array().cast("array<bigint>")))
+    """Array of (place, hash) of all windows of raw words in both readings; empty for fewer than ``WINDOW`` words."""
+    hashed = lambda ws: let(F.transform(ws, lambda w: F.xxhash64(w)), _windows)
+    one = lambda p, h: F.struct(p.alias("p"), h.alias("h"))
+    both = lambda t, r, i: F.when(t == r, F.array(one(i, t))).otherwise(F.array(one(i, t), one(i, r)))
+    pairs = lambda t, r: F.flatten(F.transform(t, lambda x, i: both(x, F.get(r, i), i)))
+    lower = lambda ws: F.transform(ws, lambda w: F.lower(w))
+    every = lambda ws: let(hashed(template(ws)), lambda t: let(hashed(lower(ws)), lambda r: pairs(t, r)))
+    return let(words, lambda ws: F.when(F.size(ws) >= WINDOW, every(ws)).otherwise(F.array().cast("array<struct<p:int,h:bigint>>")))
 
 
-def item_windows(benchmark: DataFrame) -> DataFrame:
-    """``item_id``, ``ip`` (place), ``h``, ``n_windows`` and the window's template and raw words."""
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").distinct()
-    items = items.select("item_id", template(F.col("text")).alias("t"), raw_words(F.col("text")).alias("r"))
-    items = items.select("item_id", "t", "r", window_hashes(F.col("t")).alias("w"))
-    each = items.select("item_id", "t", "r", F.size("w").cast("bigint").alias("n_windows"), F.posexplode("w").alias("ip", "h"))
-    part = lambda c: F.slice(F.col(c), F.col("ip") + 1, WINDOW)
-    return each.select("item_id", "ip", "h", "n_windows", part("t").alias("it"), part("r").alias("ir"))
+def _key(*parts: str) -> Column:
+    """A hash that tells a null from every value."""
+    return F.xxhash64(*(x for p in parts for x in (F.col(p).isNull(), F.col(p))))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row for each contaminated document and item: ``doc_id``, ``item_id``, ``n_windows``, ``n_matched``."""
+def item_windows(benchmark: DataFrame) -> DataFrame:
+    """``item`` (a key), ``item_id``, ``ip`` (place), ``h``, ``n_words`` and the window's template words and raw words, lower-cased."""
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").distinct()
+    items = items.select("item_id", _key("item_id", "text").alias("item"), raw_words(F.col("text")).alias("r"))
+    items = items.select("item", "item_id", template(F.col("r")).alias("t"), "r", F.size("r").cast("bigint").alias("n_words"), F.inline(window_hashes(F.col("r"))))
+    part = lambda c: F.slice(F.col(c), F.col("p") + 1, WINDOW)
+    return items.select("item", "item_id", F.col("p").alias("ip"), "h", "n_words", part("t").alias("it"), F.transform(part("r"), lambda w: F.lower(w)).alias("ir"))
+
+
+def _hits(docs: DataFrame, keys: DataFrame, few: bool) -> DataFrame:
+    """Windows that the documents share with ``keys`` (``h``, ``item``, ``ip``): ``doc_id``, ``doc``, ``dp``, ``dr``, ``item``, ``ip``."""
+    rows = texts(docs).where("text IS NOT NULL").select("doc_id", _key("doc_id", "text").alias("doc"), raw_words(F.col("text")).alias("r"))
+    read = rows.select("doc_id", "doc", "r", window_hashes(F.col("r")).alias("w"))
+    words = F.transform(F.slice(F.col("r"), F.col("dp") + 1, WINDOW), lambda w: F.lower(w)).alias("dr")
+    if few:
+        each = read.select("doc_id", "doc", "r", F.inline("w")).withColumnRenamed("p", "dp").join(F.broadcast(keys), "h")
+        return each.select("doc_id", "doc", "dp", words, "item", "ip")
+    narrow = read.select("doc", F.inline("w")).join(keys.select("h").distinct(), "h", "left_semi")
+    places = cut(narrow.groupBy("doc").agg(F.collect_set(F.struct("p", "h")).alias("w")), "bench-places")
+    again = rows.join(places, "doc").select("doc_id", "doc", "r", F.inline("w")).withColumnRenamed("p", "dp")
+    return again.select("doc_id", "doc", "dp", words, "h").join(keys, "h").drop("h")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """One row for each contaminated document and item: ``doc_id``, ``item_id``, ``n_words`` of the item, ``n_matched`` of them."""
     items = cut(item_windows(benchmark), "bench-windows")
-    keys = items.select("h", "item_id", "ip")
-    keys = F.broadcast(keys) if keys.count() <= BROADCAST_WINDOWS else keys
-    windows = texts(docs).where("text IS NOT NULL").select("doc_id", "text", F.posexplode(window_hashes(template(F.col("text")))).alias("dp", "h"))
-    hits = windows.join(keys, "h").select("doc_id", "dp", "item_id", "ip", "h", F.xxhash64("text").alias("th"), F.slice(raw_words(F.col("text")), F.col("dp") + 1, WINDOW).alias("dr"))
-    hits = hits.distinct().join(items, ["item_id", "ip", "h"])
-    slots = F.filter(F.zip_with(F.arrays_zip("it", "ir"), "dr", lambda i, d: F.struct(F.substring(i["it"], 1, 1).alias("k"), i["ir"].alias("i"), d.alias("d"))), lambda s: s["k"] == "<")
-    hits = hits.select("doc_id", "th", "item_id", "n_windows", "ip", (F.col("dp") - F.col("ip")).alias("diagonal"), slots.alias("slots"))
-    pairs = F.array_distinct(F.flatten(F.collect_set("slots")))
-    lines = hits.groupBy("doc_id", "th", "item_id", "n_windows", "diagonal").agg(F.collect_set("ip").alias("places"), pairs.alias("pairs"))
-    one = lambda x: F.size(F.array_distinct(F.transform("pairs", lambda p: p[x]))) == F.size("pairs")
-    whole = lines.where(one("i") & one("d"))
-    found = whole.groupBy("doc_id", "item_id", "n_windows", "th").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("bigint").alias("n_matched"))
-    found = found.groupBy("doc_id", "item_id", "n_windows").agg(F.max("n_matched").alias("n_matched"))
-    return found.where(100 * F.col("n_matched") >= SHARE_PERCENT * F.col("n_windows"))
+    keys = items.select("h", "item", "ip")
+    named = items.select("item", "item_id", "n_words", "ip", "it", "ir").distinct()
+    hits = _hits(docs, keys, keys.count() <= broadcast_windows).distinct().join(named, ["item", "ip"])
+    line = F.xxhash64("doc", "item", F.col("dp") - F.col("ip"))
+    typed = F.filter(F.zip_with(F.arrays_zip("it", "ir"), "dr", lambda i, d: F.struct(i["it"].alias("k"), i["ir"].alias("i"), d.alias("d"))), lambda s: s["k"].startswith("<"))
+    hits = cut(hits.select("doc_id", "doc", "item", "item_id", "n_words", "ip", line.alias("line"), typed.alias("slots")), "bench-hits")
+    slots = hits.select("line", "ip", F.inline("slots"))
+    votes = slots.groupBy("line", "k", "i", "d").agg(F.count("*").alias("n")).groupBy("line", "k", "i").agg(F.max(F.struct("n", "d"))["d"].alias("value"))
+    bad = slots.join(votes, ["line", "k", "i"]).where("d <> value").select("line", "ip").distinct()
+    places = hits.join(bad, ["line", "ip"], "left_anti").select("doc_id", "doc", "item", "item_id", "n_words", F.explode(F.sequence(F.col("ip"), F.col("ip") + WINDOW - 1)).alias("place")).distinct()
+    found = places.groupBy("doc_id", "doc", "item", "item_id", "n_words").agg(F.count("*").alias("n_matched"))
+    found = found.where(100 * F.col("n_matched") >= SHARE_PERCENT * F.col("n_words")).groupBy("doc_id", "item_id", "n_words").agg(F.max("n_matched").alias("n_matched"))
+    found = cut(found, "bench-found")
+    for old in (items, hits):
+        discard(old)
+    return found
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without contaminated documents."""
-    gone = cut(matches(docs, benchmark).select(F.col("doc_id").alias("__gone")).distinct(), "bench-gone")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    gone = cut(matches(docs, benchmark).select("doc_id").distinct(), "bench-gone")
+    return docs.join(gone, docs["doc_id"].cast("bigint").eqNullSafe(gone["doc_id"]), "left_anti")
