@@ -1,6 +1,7 @@
 """Operator 8: token ids as Arrow files of equal-length sequences.
 
-Documents are range-partitioned by ``doc_id``; each partition becomes one stream of ids
+Documents are range-partitioned by (``doc_id``, row number), so one id may fill several files,
+and there are as many files as the bytes of the texts ask for; each partition becomes one stream of ids
 (every document closed by ``end_id``) in an Arrow IPC file whose batches hold fixed-size
 lists: ``ids`` (``seq_len`` unsigned integers, of 16 bits if the vocabulary allows, else 32)
 and ``mask`` (as many bits, unset only on the padding of a file's last sequence).  Any sequence is found by its number without reading
@@ -16,13 +17,15 @@ a letter and a full stop or comma after it, so the ids of a text are the ids of
 and marks in turn.  Words are looked up in a cache of two generations: the elder is dropped
 when the younger is full, and what is used moves to the younger.
 
-Null or empty texts hold the end id alone.  Rows with equal ids stay, ordered by text; a
-null ``doc_id`` comes first.  An empty table gives no files and no rows.
+Null or empty texts hold the end id alone.  Rows with equal ids stay, in the order of the
+input's splits and rows; a null ``doc_id`` comes first.  Very long texts are encoded whole, one
+at a time.  An empty table gives no files and no rows.  Other columns are not read.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 import os
 import re
 import uuid
@@ -42,6 +45,8 @@ from .words import pieces
 SEQ_LEN = 2048
 BATCH_SEQUENCES = 64
 CACHE_WORDS = 250_000
+#: Bytes of text in a file: the smaller while there are at most ``SMALL_FILES``.
+SMALL_FILE_BYTES, FILE_BYTES, SMALL_FILES = 16 << 20, 256 << 20, 1_000
 _GAP = re.compile("[\x20\x09-\x0d]+")
 _MARK = re.compile("(?<=[A-Za-zß-öø-ÿ])([.,])(?=[\x20\x09-\x0dA-Za-z]|\\Z)")
 
@@ -162,9 +167,11 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2, seq_
             fs.move(own + kind, name)
         yield pa.RecordBatch.from_pydict({"file_no": [number], "n_docs": [n_docs], "n_tokens": [start]}, schema=pa.schema([("file_no", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = texts(docs).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    made = ordered.mapInArrow(run, "file_no bigint, n_docs bigint, n_tokens bigint")
+    rows = texts(docs)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, math.ceil(size / FILE_BYTES), min(SMALL_FILES, math.ceil(size / SMALL_FILE_BYTES)))
+    ordered = rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(parts, "doc_id", "row").sortWithinPartitions("doc_id", "row")
+    made = ordered.select("doc_id", "text").mapInArrow(run, "file_no bigint, n_docs bigint, n_tokens bigint")
     name = lambda kind: F.format_string(f"{path}/%06d.{kind}.arrow", "file_no")
     return made.select("file_no", name("sequences").alias("sequences"), name("docs").alias("index"), "n_docs", "n_tokens")
 
