@@ -11,26 +11,32 @@ text without units has the empty fingerprint.
 The likeness of two fingerprints is the Jaccard similarity of their hashes (1 if both are
 empty).  Fingerprints are written as hexadecimal numbers joined by blanks.
 
-``with_next`` finds the next document by ``doc_id`` without a global sort: splitters taken
-from approximate quantiles are ids of the table itself, each bucket also gets the records at
-the next splitter, and the last bucket the first record of all, so a window inside the
-bucket sees every successor.  The text is shuffled once.
-
-Null texts are empty, a null ``doc_id`` comes last, equal ids are ordered by text, and a
-single row is its own successor.  Other columns are not read.
+``with_next`` finds the next document by (``doc_id``, row number) without a global sort:
+splitters are quantiles of a bounded sample of these pairs, so rows that share an id are split
+like others; the first record of each bucket goes to the one before it too, and the first of
+all to the last, so a window inside the bucket sees every successor.  The text is shuffled once.
+
+Null texts are empty, a null ``doc_id`` comes last (as the greatest id), equal ids follow each
+other in the order of the input's splits and rows, and a single row is its own successor.
+Inputs other than plain scans are stored first, so that rows have one number.  Places count
+modulo 2^25: of a text with more units, equal hashes exactly that far apart are one, which
+changes no likeness.  An empty table gives no rows.  Other columns are not read.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .columns import texts
+from .columns import let, texts
+from .scratch import cut
 
 K, WINDOW = 3, 8
 ROWS_A_BUCKET = 1_000
-MAX_BUCKETS = 65_536
-_STEP = 64
+MAX_BUCKETS, DRAWS_A_BUCKET = 65_536, 4
+_STEP = 16
 _PLACE_BITS = 25
 _LAST = 2**63 - 1
 _UNIT = r"[\p{L}\p{M}\p{N}]{1,16}|[^\s\p{L}\p{M}\p{N}]"
@@ -39,7 +45,6 @@ _UNIT = r"[\p{L}\p{M}\p{N}]{1,16}|[^\s\p{L}\p{M}\p{N}]"
 def chosen(text: Column, k: int = K, window: int = WINDOW) -> Column:
     """Sorted by place: array of numbers that hold hash and place."""
     units = F.transform(F.regexp_extract_all(F.lower(text), F.lit(_UNIT), F.lit(0)), lambda u: F.xxhash64(u))
-    let = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
     top = (1 << _PLACE_BITS) - 1
 
     def number(h: Column, i: Column) -> Column:
@@ -78,47 +83,67 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(all_ == 0, F.lit(1.0)).otherwise(both / F.greatest(all_, F.lit(1)))
 
 
-def _bucket(order: Column, splitters: list[int]) -> Column:
-    """How many splitters are not above ``order``: first among every 64th, then among 64."""
-    if not splitters:
-        return F.lit(0)
-    all_ = F.array(*map(F.lit, splitters)).cast("array<bigint>")
-    tops = F.array(*map(F.lit, splitters[::_STEP])).cast("array<bigint>")
-    below = lambda a: F.size(F.filter(a, lambda s: s <= order))
-    if len(splitters) <= _STEP:
-        return below(all_)
-    block = F.greatest(below(tops) - 1, F.lit(0)) * _STEP
-    return block + below(F.slice(all_, block + 1, _STEP))
+def _numbers(values: list, kind: str) -> Column:
+    """A constant array."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
+def _bucket(splitters: list[tuple[int, int]]) -> Column:
+    """How many splitters are not above (o, r): counted among every 4096th, then each time among the next finer ones in between."""
+    below = lambda s: (s["o"] < F.col("o")) | ((s["o"] == F.col("o")) & (s["r"] <= F.col("r")))
+    at, stride = F.lit(0), 1
+    while stride * _STEP < len(splitters):
+        stride *= _STEP
+    while stride:
+        held = _numbers([{"o": o, "r": r} for o, r in splitters[stride - 1 :: stride]], "struct<o:bigint,r:bigint>")
+        at = let(at * _STEP, lambda a: a + F.size(F.filter(F.slice(held, a + 1, _STEP), below)))  # noqa: B023
+        stride //= _STEP
+    return at
+
+
+def _plain(docs: DataFrame) -> bool:
+    """Whether rows come from a scan in the same order whenever they are read."""
+    todo = [docs._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() not in ("Project", "Filter", "LogicalRelation", "Relation", "LocalRelation", "RelationV2", "DataSourceV2ScanRelation"):
+            return False
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return True
 
 
 def with_next(docs: DataFrame, rows_a_bucket: int = ROWS_A_BUCKET) -> tuple[DataFrame, "Window"]:
     """Rows ``doc_id``, ``text``, ``next_text``, ``ghost`` and the window they lie in; ghosts are only successors."""
-    rows = texts(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(_LAST)).alias("o"))
-    count, least = rows.agg(F.count("*"), F.min("o")).first()
+    docs = texts(docs)
+    rows = (docs if _plain(docs) else cut(docs, "next-docs")).withColumn("r", F.monotonically_increasing_id())
+    rows = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(_LAST)).alias("o"), "r")
+    count = rows.count()
     n = min(MAX_BUCKETS, count // rows_a_bucket)
-    splitters: list[int] = []
+    splitters: list[tuple[int, int]] = []
     if n > 1:
-        got = rows.agg(F.percentile_approx("o", [i / n for i in range(1, n)], max(10_000, 4 * n))).first()[0]
-        splitters = sorted({s for s in got if s > least})
-    bucket = _bucket(F.col("o"), splitters)
-    rows = rows.withColumn("b", bucket)
-    at_splitter = F.when(F.col("o").isin(splitters), F.array(F.col("b") - 1)).otherwise(F.array().cast("array<int>")) if splitters else F.array().cast("array<int>")
-    own = F.array(F.struct(F.col("b").alias("b"), F.lit(0).alias("late"), F.lit(False).alias("ghost")))
-    before = F.transform(at_splitter, lambda b: F.struct(b.alias("b"), F.lit(0).alias("late"), F.lit(True).alias("ghost")))
-    around = F.when(F.col("o") == least, F.array(F.struct(F.lit(len(splitters)).alias("b"), F.lit(1).alias("late"), F.lit(True).alias("ghost"))))
+        chance = F.shiftrightunsigned(F.xxhash64("r"), 11) / float(1 << 53)
+        drawn = sorted(map(tuple, rows.select("o", "r").where(chance < n * DRAWS_A_BUCKET / count).collect()))
+        splitters = sorted({drawn[len(drawn) * i // n] for i in range(1, n)}) if drawn else []
+    rows = rows.withColumn("b", _bucket(splitters))
+    firsts = sorted((x.b, x.f.r) for x in rows.groupBy("b").agg(F.min(F.struct("o", "r")).alias("f")).collect())
+    first, before = [-1] * (len(splitters) + 1), [-1] * (len(splitters) + 1)
+    for k, (b, r) in enumerate(firsts):
+        first[b], before[b] = r, firsts[k - 1][0]
     kind = "array<struct<b:int,late:int,ghost:boolean>>"
-    copies = F.concat(own.cast(kind), before.cast(kind), F.coalesce(around.cast(kind), F.array().cast(kind)))
-    dealt = rows.select("doc_id", "text", "o", F.inline(copies))
-    w = Window.partitionBy("b").orderBy("late", "o", "ghost", "text")
+    own = F.array(F.struct(F.col("b"), F.lit(0), F.lit(False))).cast(kind)
+    late = (F.col("b") == (firsts[0][0] if firsts else 0)).cast("int")
+    ghost = F.when(F.get(_numbers(first, "bigint"), F.col("b")) == F.col("r"), F.array(F.struct(F.get(_numbers(before, "int"), F.col("b")), late, F.lit(True))).cast(kind))
+    dealt = rows.select("doc_id", "text", "o", "r", F.inline(F.concat(own, F.coalesce(ghost, F.array().cast(kind)))))
+    w = Window.partitionBy("b").orderBy("late", "o", "r")
     return dealt.withColumn("next_text", F.lead("text").over(w)), w
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``text``, ``edited``, and the chosen numbers and hashes of both and of the next document's text."""
-    rows, w = with_next(docs)
+def fingerprints(docs: DataFrame, rows_a_bucket: int = ROWS_A_BUCKET) -> DataFrame:
+    """``doc_id``, ``text``, ``next_text``, ``edited``, and the chosen numbers of all three (``chosen``, ``next_chosen``, ``edited_chosen``)."""
+    rows, w = with_next(docs, rows_a_bucket)
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half))
-    rows = rows.select("doc_id", "text", "b", "late", "o", "ghost", edited.alias("edited"), chosen(F.col("text")).alias("chosen"))
+    rows = rows.select("doc_id", "text", "next_text", "b", "late", "o", "r", "ghost", edited.alias("edited"), chosen(F.col("text")).alias("chosen"))
     rows = rows.withColumn("next_chosen", F.lead("chosen").over(w)).where("NOT ghost")
-    return rows.select("doc_id", "text", "edited", "chosen", chosen(F.col("edited")).alias("edited_chosen"), "next_chosen")
+    return rows.select("doc_id", "text", "next_text", "edited", "chosen", chosen(F.col("edited")).alias("edited_chosen"), "next_chosen")
