@@ -14,7 +14,8 @@ A document without words has an empty set and is linked with nothing; a document
 than five words has the whole sequence as its one shingle.  Rows with a null ``doc_id`` are
 linked with nothing and get a null component.  Rows that share an id are one node: each
 keeps its own ``n_shingles``.  Ties do not arise: the smallest id stands for its component.
-Input columns stay; ``n_shingles``, ``component_id`` and ``kept`` are replaced.
+Very long texts are sketched whole, one at a time.  An empty table gives no rows.  Other
+columns are not read; ``drop_near_duplicates`` keeps them.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from pyspark.sql.types import DoubleType
 
 from .columns import texts
 from .linking import link
+from .membership import pick
 from .minhash import BUCKETS, band_keys, estimate, signatures
 from .scratch import cut
 from .words import mix, pieces, shingle_sets, string_bytes
@@ -101,7 +103,7 @@ def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     bands = own.select(F.explode("bands").alias("key"), F.col("doc_id").alias("node"))
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        found = rows.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+        found = pick(rows, nodes.select(F.col("node").alias("doc_id")))
         return found.mapInArrow(_full_sets, "node bigint, shingles array<bigint>").distinct() if repeats else found.mapInArrow(_full_sets, "node bigint, shingles array<bigint>")
 
     labels = link(bands, sets_of, limit, lambda pairs: _likely(pairs, own, limit), "near")
@@ -115,6 +117,5 @@ def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """``docs`` without the rows of documents that are not the smallest of their component."""
-    gone = near_duplicates(docs, limit).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    gone = cut(gone, "near-gone")
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    gone = cut(near_duplicates(docs, limit).where("NOT kept").select("doc_id").distinct(), "near-gone")
+    return docs.join(gone, docs["doc_id"].cast("bigint") == gone["doc_id"], "left_anti")
