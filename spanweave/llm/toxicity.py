@@ -3,14 +3,17 @@
 Features are presence of words, bigrams and skip-grams (a word and the next but one), hashed
 into 2^20 places; words are runs of letters and digits, A-Z lower-cased.  Learning sees
 ``MAX_TRAIN`` labelled rows at most, those of the smallest hashes of their ids, in that
-order: the one bound here, a parameter.  They meet in one task that keeps their features
-(some 6 KB a row) and makes ``EPOCHS`` passes; per-coordinate rates and L1 leave a few
+order, and of them the texts of up to ``MAX_TRAIN_BYTES``: the two bounds here, both parameters.
+They meet in one task (200 MB of text at the very most) that keeps their features, some
+2 bytes for each of text, and makes ``EPOCHS`` passes; per-coordinate rates and L1 leave a few
 thousand weights, which are broadcast (2^20 at most).  Scoring is one pass over all whole
-texts without a shuffle.
+texts, of any length, without a shuffle.
 
 Labels are learned only where crc32 of the id as text, modulo 5, is not 0.  Rows with a null
 label or id teach nothing; of several labels of an id the larger counts.  Null and empty
-texts have no features and score the bias alone.  Without any label scores are 0.5.
+texts have no features and score the bias alone.  Without any label scores are 0.5.  Rows that
+share an id are scored by themselves and all teach.  An empty table gives no rows.  Other
+columns are not read; ``drop_toxic`` keeps them.
 """
 
 from __future__ import annotations
@@ -28,9 +31,9 @@ from .columns import texts
 from .words import PIECE_BYTES, mix, pieces, string_bytes, word_hashes
 
 BITS = 20
-MAX_TRAIN = 12_000
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 3.0, 0.1
+MAX_TRAIN, MAX_TRAIN_BYTES = 12_000, 16 << 10
+EPOCHS = 4
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 0.1
 FOLDS = 5
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 _SHIFT = np.uint64(64 - BITS)
@@ -91,13 +94,14 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(w[at])], ["place", "weight"])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[np.ndarray, np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_bytes: int = MAX_TRAIN_BYTES) -> tuple[np.ndarray, np.ndarray]:
     """Places and weights of the model, the places in order."""
     marks = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
     marks = marks.where("label IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
     order = F.xxhash64(F.lit("order"), "doc_id")
     few = marks.groupBy("doc_id").agg(F.max("label").alias("label")).select("doc_id", "label", order.alias("o")).orderBy("o", "doc_id").limit(max_train)
-    sample = texts(docs).join(F.broadcast(few), "doc_id").select("o", "doc_id", "label", "text")
+    short = texts(docs).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes)
+    sample = short.join(F.broadcast(few), "doc_id").select("o", "doc_id", "label", "text")
     got = sample.repartition(1).sortWithinPartitions("o", "doc_id", "text").mapInArrow(_train, "place bigint, weight double").collect()
     got.sort()
     return np.array([r[0] for r in got], np.int64), np.array([r[1] for r in got], np.float64)
@@ -134,6 +138,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) ->
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
-    """``docs`` without the rows that score 0.5 or more."""
-    score = scorer(docs.sparkSession, train(docs, labels, max_train))
-    return docs.where(score(F.col("text")) < 0.5)
+    """``docs`` without the rows that score 0.5 or more; all of them where no label teaches anything."""
+    model = train(docs, labels, max_train)
+    return docs.where(scorer(docs.sparkSession, model)(F.col("text")) < 0.5) if len(model[0]) else docs
