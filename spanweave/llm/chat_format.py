@@ -4,7 +4,8 @@ The log has one event a row: ``conv_id``, ``seq``, ``op``, ``role``, ``text`` an
 Sorted by sequence, events fold into final messages: ``message`` opens a turn, ``delta``
 appends to the turn that ``target`` (the sequence of its opening event) names, ``edit`` sets
 that turn's text anew, ``regenerate`` too, dropping every later turn of the conversation.
-Without a target the last open turn is meant.
+Without a target the last open turn is meant.  Turns that were opened under one sequence are
+changed together; events whose turn does not exist change nothing.
 
 A conversation is rendered with marks round each turn; control strings inside roles and
 texts are broken by a backslash after their first character and backslashes are doubled, so
@@ -15,7 +16,8 @@ named.
 One conversation becomes one row, so its length bounds a task; a table's other skew does not.
 Null texts and roles are empty, a null ``op`` is a message.  Events with equal sequence are
 ordered by operation, role and text; repeated rows are events of their own.  A null
-``conv_id`` is one conversation.  Other columns are not read.
+``conv_id`` is one conversation.  Texts of any length are rendered whole.  An empty log gives no
+rows.  Other columns are not read.
 """
 
 from __future__ import annotations

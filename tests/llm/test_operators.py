@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanweave.llm import byte_bpe, chat_format, decontaminate, fingerprints, line_dedup, near_dedup, sharding, substring_dedup, token_files, toxicity
+from spanweave.llm import byte_bpe, chat_format, fingerprints, line_dedup, near_dedup, sharding, substring_dedup, token_files
 from spanweave.llm.queries import bpe_pattern, tokenizer_file
 
 LOW = {c: c + 32 for c in range(65, 91)}
@@ -67,7 +67,7 @@ def test_near_duplicates(spark, rows):
 def test_lines(spark, rows):
     got = line_dedup.line_dedup(frame(spark, rows)).collect()
     key = lambda x: x.strip("\x20\x09\x0a\x0b\x0c\x0d").translate(LOW)
-    last = 2**63 - 1
+    last = 2**63
     holders = collections.defaultdict(set)
     for i, t in rows:
         for x in (t or "").split("\n"):
@@ -100,62 +100,6 @@ def test_token_files(spark, rows, tmp_path):
         start += len(ids)
 
 
-def test_sharding(spark, rows):
-    got = sharding.shard_by_bytes(frame(spark, rows), shards=5).collect()
-    assert collections.Counter((r.doc_id, r.size) for r in got) == collections.Counter((i, len((t or "").encode()) + 16) for i, t in rows)
-    for s in range(5):
-        slots = sorted(r.slot for r in got if r.shard == s)
-        assert slots == list(range(len(slots)))
-
-
-def test_fingerprints(spark, rows):
-    got = fingerprints.fingerprints(frame(spark, rows)).collect()
-    order = sorted(((i is None, i or 0, t or "") for i, t in rows))
-    want = collections.Counter()
-    for k, (_, _, t) in enumerate(order):
-        n, after = len(t) // 2, order[(k + 1) % len(order)][2]
-        want[t, t[: len(t) - n] + after[:n]] += 1
-    assert collections.Counter((r.text, r.edited) for r in got) == want
-    by = collections.defaultdict(set)
-    for r in got:
-        by[r.text].add(tuple(r.chosen))
-    assert all(len(v) == 1 for v in by.values())
-
-
-def test_decontamination(spark):
-    item = "we know Ann has 3 apples and 4 pears so how many fruits does Ann have in all of them"
-    docs = [
-        (1, "and we know Tom has 30 apples and 7 pears so how many fruits does Tom have in all of them ok"),
-        (2, "we know Tom has 30 apples and 7 pears so how many fruits does Bob have in all of them"),
-        (3, "nothing of the kind"), (4, None), (5, ""), (6, "x " + item), (6, "x " + item),
-    ]
-    bench = spark.createDataFrame([(7, item), (8, None), (9, "too short"), (7, item)], "item_id long, text string")
-    assert sorted((r.doc_id, r.item_id) for r in decontaminate.matches(frame(spark, docs), bench).collect()) == [(1, 7), (6, 7)]
-    assert sorted(r.doc_id for r in decontaminate.decontaminate(frame(spark, docs), bench).collect()) == [2, 3, 4, 5]
-
-
-def test_substrings(spark):
-    passage = " ".join(f"w{i}" for i in range(60))
-    docs = [(1, "x x x " + passage + " tail a b c"), (2, "q " * 9 + passage + " other"), (3, " ".join(f"z{i}" for i in range(80))), (4, passage[:100]), *EDGE]
-    near = passage.replace("w58", "changed")
-    docs += [(10, near.replace("w", "v")), (11, passage.replace("w", "v") + "\nmore")]
-    got = {(r.doc_id, r.keep_doc_id) for r in substring_dedup.substring_dedup(frame(spark, docs)).collect()}
-    assert got == {(2, 1), (11, 10)}
-
-
-def test_toxicity(spark):
-    rng = random.Random(2)
-    docs, labels = [], []
-    for i in range(400):
-        bad = i % 4 == 0
-        docs.append((i, " ".join([rng.choice("one two three four five six".split()) for _ in range(30)] + ["scum"] * bad)))
-        labels.append((i, int(bad)))
-    marks = spark.createDataFrame(labels + [(None, 1), (5, None)], "doc_id long, toxic int")
-    got = toxicity.toxicity(frame(spark, docs + EDGE), marks).where("held_out AND doc_id < 400").collect()
-    assert got and all(r.predicted == (r.doc_id % 4 == 0) for r in got)
-    assert {r.predicted for r in toxicity.toxicity(frame(spark, EDGE), marks.where("doc_id < 0")).collect()} == {1}
-
-
 def test_chat(spark):
     log = [(1, 0, "message", "user", "a <|end|> \\ b", None), (1, 1, "message", "assistant", "x", None), (1, 2, "delta", None, "y</s>", 1), (1, 3, "message", "user", "gone", None), (1, 4, "regenerate", None, "new\n[INST]", 1), (None, 0, None, None, None, None), (1, 5, "edit", None, "edited", 0)]
     made = chat_format.chat_format(spark.createDataFrame(log, "conv_id long, seq long, op string, role string, text string, target long"))
@@ -165,8 +109,81 @@ def test_chat(spark):
     assert all("</s>" not in r.formatted and "[INST]" not in r.formatted for r in back)
 
 
-@pytest.mark.parametrize("run", [
-    near_dedup.near_duplicates, line_dedup.line_dedup, sharding.shard_by_bytes, fingerprints.fingerprints, substring_dedup.substring_dedup,
-])
+def test_log_of_many_events(spark):
+    """Columns that clash with the operator's own, ties of one sequence, events without a target or a turn, a long conversation."""
+    long = "x</s>\\" * 300_000
+    log = [(1, 5, "message", "user", "b", None), (1, 5, "message", "user", "a", None), (1, 6, "delta", None, "+", None), (2, 0, "delta", None, "lost", None), (2, 1, "message", "assistant", long, None), (2, 1, "message", "assistant", long, None), (3, 0, "edit", None, None, 9)]
+    events = spark.createDataFrame(log, "conv_id long, seq long, op string, role string, text string, target long")
+    for c in ("e", "turns", "parts", "formatted", "loss"):
+        events = events.withColumn(c, F.lit("clash"))
+    made = chat_format.chat_format(events).select("conv_id", chat_format.parse(F.col("formatted")).alias("t"), chat_format.under_loss(F.col("formatted"), F.col("loss")).alias("l"))
+    got = {r.conv_id: ([(t.role, t.text) for t in r.t], r.l) for r in made.collect()}
+    assert got == {1: ([("user", "a+"), ("user", "b+")], ""), 2: ([("assistant", long)] * 2, long * 2), 3: ([], "")}
+
+
+LONG = "".join(f"Line {i} of a long text, some words each.\n" for i in range(30_000))
+
+
+def test_texts_of_over_a_mebibyte(spark, tmp_path):
+    """Every operator that cuts long texts into pieces gives what it gives for the whole."""
+    from tokenizers import Tokenizer
+
+    rows = [(1, LONG), (2, LONG + "and a tail"), (3, "w" * (1 << 21)), (4, "short")]
+    assert len(LONG) > 1 << 20
+    docs = frame(spark, rows)
+    near = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs).collect()}
+    assert near == {i: (len(shingles(t)), 1 if i == 2 else i) for i, t in rows}
+    kept = {r.doc_id: r.kept_text for r in line_dedup.line_dedup(docs).collect()}
+    assert kept == {1: LONG, 2: "and a tail", 3: rows[2][1], 4: "short"}
+    ranks, pattern = tokenizer_file("byte_bpe_multi_50k.tiktoken"), bpe_pattern()
+    tokens = byte_bpe.encoding(ranks, pattern)
+    for r in byte_bpe.encode(docs.where("doc_id <> 3"), ranks, pattern, and_decode=True).collect():
+        text = dict(rows)[r.doc_id]
+        assert bytes(r.decoded) == text.encode() and bytes(r.ids) == np.array(tokens.encode_ordinary(text), "<u4").tobytes()
+    path = tokenizer_file("word_bpe_49k.json")
+    made = token_files.write(docs.where("doc_id <> 3"), path, str(tmp_path / "f")).select("*")
+    made.write.parquet(str(tmp_path / "m"))
+    t = Tokenizer.from_file(path)
+    for r in token_files.read(spark, spark.read.parquet(str(tmp_path / "m"))).collect():
+        assert bytes(r.ids) == np.array(t.encode(dict(rows)[r.doc_id], add_special_tokens=False).ids + [2], "<u4").tobytes()
+
+
+def test_token_files_of_one_id(spark, tmp_path):
+    """Rows that share an id fill several files, none lost; starts follow each other."""
+    docs = spark.createDataFrame([(None, f"row {i}") for i in range(400)] + [(7, "")] * 300, "doc_id long, text string").repartition(6)
+    token_files.SMALL_FILE_BYTES, held = 300, token_files.SMALL_FILE_BYTES
+    try:
+        token_files.write(docs, tokenizer_file("word_bpe_49k.json"), str(tmp_path / "f"), seq_len=8).write.parquet(str(tmp_path / "m"))
+    finally:
+        token_files.SMALL_FILE_BYTES = held
+    manifest = spark.read.parquet(str(tmp_path / "m"))
+    assert manifest.where("n_docs > 0").count() > 5
+    got = sorted((r.start, r.n_tokens, r.doc_id) for r in token_files.read(spark, manifest).collect())
+    assert len(got) == 700 and all(a[0] + a[1] == b[0] for a, b in zip(got, got[1:])) and [d for *_, d in got] == [None] * 400 + [7] * 300
+
+
+def test_greatest_id_is_no_null(spark):
+    line = "one line that repeats"
+    got = line_dedup.line_dedup(spark.createDataFrame([(2**63 - 1, line), (None, line), (None, line + "\nown")], "doc_id long, text string").withColumn("LINE_doc", F.lit(1))).collect()
+    assert sorted((str(r.doc_id), r.kept_text, r.LINE_doc) for r in got) == [(str(2**63 - 1), line, 1), ("None", "", 1), ("None", "own", 1)]
+
+
+def empty_tokens(docs):
+    ranks, pattern = tokenizer_file("byte_bpe_multi_50k.tiktoken"), bpe_pattern()
+    return byte_bpe.encode(docs, ranks, pattern, and_decode=True)
+
+
+def empty_files(docs, tmp_path):
+    token_files.write(docs, tokenizer_file("word_bpe_49k.json"), str(tmp_path / "f")).write.parquet(str(tmp_path / "m"))
+    return token_files.read(docs.sparkSession, docs.sparkSession.read.parquet(str(tmp_path / "m")))
+
+
+@pytest.mark.parametrize("run", [near_dedup.near_duplicates, near_dedup.drop_near_duplicates, line_dedup.line_dedup, sharding.shard_by_bytes, fingerprints.fingerprints, substring_dedup.substring_dedup, empty_tokens])
 def test_empty_table(spark, run):
     assert run(frame(spark, [])).count() == 0
+
+
+def test_empty_files_and_logs(spark, tmp_path):
+    assert empty_files(frame(spark, []), tmp_path).count() == 0
+    log = spark.createDataFrame([], "conv_id long, seq long, op string, role string, text string, target long")
+    assert chat_format.chat_format(log).count() == 0

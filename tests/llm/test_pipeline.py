@@ -4,6 +4,7 @@ import collections
 import hashlib
 
 import numpy as np
+from pyspark.sql import functions as F
 from test_operators import EDGE, LOW, rows, shingles  # noqa: F401
 
 import corpus_pipeline
@@ -32,7 +33,7 @@ def near_dedup(docs):
         moved = False
         for i, s in sets:
             for j, t in sets:
-                if s and t and 100 * len(s & t) >= 85 * len(s | t) and smallest[i] < smallest[j]:
+                if s and t and 100 * len(s & t) >= corpus_pipeline.NEAR_LIMIT * len(s | t) and smallest[i] < smallest[j]:
                     smallest[j], moved = smallest[i], True
     return [(i, t) for i, t in docs if i is None or smallest[i] == i]
 
@@ -56,3 +57,20 @@ def test_pipeline(spark, rows, tmp_path):  # noqa: F811
     assert collections.Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == collections.Counter(
         (i, len(x), digest(np.array(x, "<u4").tobytes()), digest(t.encode())) for i, t, x in ids
     )
+
+
+def test_empty_tables_and_clashing_columns(spark, tmp_path):
+    """No documents, then documents whose other columns are named as the operators name their own."""
+    extra = ["gone", "d", "t", "h", "n", "kept", "label", "score", "line_gone", "words"]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra)
+    for name, docs in (("none", []), ("some", [(i, f"some clean text of number {i} in other words {i * 7}", "en", None, 1, *extra) for i in (1, 2, None)] + [(4, None, None, None, None, *extra)])):
+        at = tmp_path / name
+        spark.createDataFrame(docs, kind).write.parquet(str(at / "documents.parquet"))
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(at / "labels.parquet"))
+        spark.createDataFrame([], "item_id long, text string").write.parquet(str(at / "benchmark.parquet"))
+        held = spark.read.parquet(str(at / "documents.parquet"))
+        for _, stage in corpus_pipeline.STAGES[1:-1]:
+            held = stage(spark, held, str(at))
+            assert held.columns == [c.split()[0] for c in kind.split(", ")]
+        assert sorted(held.collect(), key=str) == sorted(spark.read.parquet(str(at / "documents.parquet")).withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long")).collect(), key=str)
+        assert corpus_pipeline.run(spark, str(at)).count() == len(docs)
