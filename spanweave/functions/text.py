@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import StringType
 
 
 def unquote(s: Column) -> Column:
-    """Percent-decoding that leaves ``+`` and malformed escapes alone."""
-    return F.coalesce(F.try_url_decode(F.replace(s, F.lit("+"), F.lit("%2B"))), s)
+    """Percent-decoding that leaves ``+`` and malformed escapes alone, each by itself."""
+    sound = F.regexp_replace(F.replace(s, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.coalesce(F.try_url_decode(sound), s)
 
 
 def entity_name(url: Column, base: str = "http://en.wikipedia.org/wiki/") -> Column:
@@ -98,13 +103,15 @@ def strip_punctuation(s: Column) -> Column:
     return F.regexp_replace(s, r"\p{Punct}", "")
 
 
-#: Accented letters of the languages at hand and their plain forms.
-ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+@arrow_udf(StringType())
+def _decomposed(s: pa.Array) -> pa.Array:
+    return pc.utf8_normalize(s, "NFKD")
 
 
 def remove_accents(s: Column) -> Column:
-    """Plain ASCII: accents off, what is left beyond ASCII dropped."""
-    return F.regexp_replace(F.translate(s, ACCENTED, PLAIN), r"[^\x00-\x7F]", "")
+    """Plain ASCII: compatibility decomposition, then what is beyond ASCII dropped; ASCII texts stay in the JVM."""
+    wide = s.rlike(r"[^\x00-\x7F]")
+    return F.when(wide, F.regexp_replace(_decomposed(F.when(wide, s)), r"[^\x00-\x7F]", "")).otherwise(s)
 
 
 def acceptable(word: Column, stop: tuple[str, ...] = tuple(FUNCTION_WORDS)) -> Column:
@@ -125,6 +132,12 @@ def longest_common(a: Column, b: Column) -> Column:
     return F.aggregate(runs, F.lit(""), lambda best, r: F.when((F.length(r) > F.length(best)) & (F.instr(b, r) > 0), r).otherwise(best))
 
 
+def share_run(a: Column, b: Column, length: int = 4) -> Column:
+    """Whether ``length`` characters in a row of ``a`` stand in ``b``."""
+    starts = F.when(F.length(a) >= length, F.sequence(F.lit(1), F.length(a) - (length - 1))).otherwise(F.array().cast("array<int>"))
+    return F.exists(starts, lambda i: F.instr(b, F.substr(a, i, F.lit(length))) > 0)
+
+
 def insert_check(a: Column, b: Column) -> Column:
     """Mismatches when ``a`` is read along ``b`` and skipped letters count one each; 1000 if ``a`` is longer."""
     state = "struct<i:int,miss:int>"

@@ -53,20 +53,31 @@ def canonical(links: DataFrame, corrections: DataFrame) -> DataFrame:
     return got.withColumn("canonical", T.unquote(F.coalesce("__to", "link"))).drop("__bare", "__to")
 
 
-def build_dictionary(lines: DataFrame) -> DataFrame:
+def validate(mentions: DataFrame, corrections: DataFrame) -> DataFrame:
+    """Mentions or gold spans with their links made canonical."""
+    return canonical(mentions, corrections).withColumn("link", F.col("canonical")).drop("canonical")
+
+
+def build_dictionary(lines: DataFrame, block_lines: int = 1 << 16) -> DataFrame:
     """Dictionary from TSV lines (``line_no``, ``surface``, ``value`` = prior, link, rest ignored) as the loader reads them.
 
     Runs of equal surfaces are lists; the last run of the file is never stored; of several runs of
     a surface the first counts.  Lines without a second field are skipped.  File order is the rank.
-    One window over the file's order: a dictionary file, not a corpus.
+    Runs are told apart inside blocks of lines, in parallel; only one row a block is put in order
+    as a whole, to carry the surface and the run that a block begins with.
     """
     parts = F.split(F.trim("value"), r"\s+")
-    rows = lines.where(F.col("value").isNotNull()).select("line_no", "surface", parts[0].cast("double").alias("prob"), parts[1].alias("link"))
-    w = Window.orderBy("line_no")
-    rows = rows.withColumn("new", F.coalesce(F.lag("surface").over(w) != F.col("surface"), F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(w))
+    rows = lines.where(F.col("value").isNotNull()).select("line_no", F.floor(F.col("line_no") / block_lines).alias("block"), "surface", parts[0].cast("double").alias("prob"), F.get(parts, 1).alias("link"))
+    rows = rows.where("link IS NOT NULL")
+    w = Window.partitionBy("block").orderBy("line_no")
+    over = Window.orderBy("block")
+    ends = rows.groupBy("block").agg(F.max_by("surface", "line_no").alias("end")).withColumn("before", F.lag("end").over(over)).drop("end")
+    new = F.coalesce(F.coalesce(F.lag("surface").over(w), F.col("before")) != F.col("surface"), F.lit(True))
+    rows = rows.join(F.broadcast(ends), "block").withColumn("start", F.when(new, F.col("line_no")))
+    carried = rows.groupBy("block").agg(F.max("start").alias("top")).withColumn("carried", F.max("top").over(over.rowsBetween(Window.unboundedPreceding, -1))).drop("top")
+    rows = rows.join(F.broadcast(carried), "block").withColumn("run", F.coalesce(F.max("start").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("carried")))
     last = rows.agg(F.max("run").alias("last"))
     kept = rows.join(F.broadcast(last)).where(F.col("run") < F.col("last"))
     first = kept.groupBy("surface").agg(F.min("run").alias("run"))
     rank = F.row_number().over(Window.partitionBy("surface").orderBy("line_no"))
     return kept.join(first, ["surface", "run"]).select("surface", rank.alias("rank"), "link", "prob")
-

@@ -9,6 +9,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 def ngrams(queries: DataFrame, max_n: int | None = None) -> DataFrame:
     """All runs of tokens, longest first and from the left: ``query_id``, ``position``, ``word_count``, ``surface``."""
@@ -32,12 +34,16 @@ def lookup(grams: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 
 def lookup_cascade(grams: DataFrame, dictionary: DataFrame, variants: list[tuple[str, Column]]) -> DataFrame:
-    """First hit among the term and its variants in turn; the surface looked up is ``matched``."""
+    """As ``lookup``, by the first hit among the term and its ``variants`` in turn; ``matched`` and ``turn`` (0: the term itself) tell which.
+
+    Forms are made once for each distinct term, not for each of its places.
+    """
     forms = F.array(*(F.struct(F.lit(i).alias("turn"), f.alias("form")) for i, (_, f) in enumerate([("exact", F.col("surface")), *variants])))
-    tried = grams.select("query_id", "position", "word_count", "surface", F.inline(forms))
-    known = dictionary.select(F.col("surface").alias("form")).distinct()
-    hit = tried.join(known, "form")
-    return hit.groupBy("query_id", "position", "word_count", "surface").agg(F.min_by("form", "turn").alias("matched"), F.min("turn").alias("turn"))
+    tried = grams.select("surface").distinct().select("surface", F.inline(forms))
+    top = dictionary.groupBy("surface").agg(F.min_by("link", "rank").alias("link0"), F.min_by("prob", "rank").alias("p0"), F.count("*").cast("int").alias("n_cands"))
+    hit = tried.join(top.withColumnRenamed("surface", "form"), "form")
+    first = hit.groupBy("surface").agg(F.min_by(F.struct(F.col("form").alias("matched"), "link0", "p0", "n_cands", "turn"), "turn").alias("x")).select("surface", "x.*")
+    return grams.join(first, "surface").select("query_id", "position", "word_count", "surface", "matched", "turn", "link0", "p0", "n_cands")
 
 
 _KEPT = "array<struct<pos:int,n:int,p:double,surface:string,link0:string>>"
@@ -85,6 +91,27 @@ def fewest_candidates(candidates: DataFrame) -> DataFrame:
     return lists.select("query_id", F.inline(F.aggregate("cs", F.array().cast(kind), step))).toDF("query_id", "position", "word_count", "n_cands", "surface")
 
 
+def clean(mentions: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Each mention with one candidate left: the chosen one, or the last of the list where none is; ``chosen`` is 0 or stays -1."""
+    cands = dictionary.groupBy("surface").agg(F.sort_array(F.collect_list(F.struct("rank", "link", "prob"))).alias("cands"))
+    one = F.element_at("cands", F.when(F.col("chosen") >= 0, F.col("chosen") + 1).otherwise(-1).cast("int"))
+    rows = mentions.select("query_id", "ord", "surface", "chosen").join(cands, "surface").select("query_id", "ord", "surface", "chosen", one.alias("c"))
+    return rows.select("query_id", "ord", "surface", F.least("chosen", F.lit(0)).alias("chosen"), "c.link", "c.prob")
+
+
+def with_gold(queries: DataFrame, gold: DataFrame) -> DataFrame:
+    """Queries that have a gold mention."""
+    return queries.join(gold.select("query_id").distinct(), "query_id", "left_semi")
+
+
+def from_annotator(queries: DataFrame, annotations: DataFrame, compat: bool = True) -> DataFrame:
+    """Mentions from a stored annotator's answers (``query_id``, ``start`` in characters, ``surface``, ``link``, ``prob``); ``compat`` puts all at the last token."""
+    rows = annotations.join(queries.select("query_id", "text"), "query_id")
+    ord_ = F.row_number().over(Window.partitionBy("query_id").orderBy("start", "surface", "link"))
+    words = F.size(T.split_words(F.col("surface")))
+    return rows.select("query_id", ord_.alias("ord"), T.token_at(F.col("text"), F.col("start"), compat).alias("position"), words.alias("word_count"), "surface", F.lit(0).alias("chosen"), "link", "prob")
+
+
 def first_crossing(mentions: DataFrame) -> DataFrame:
     """For each mention the least ``ord`` of the earlier ones it crosses, or null."""
     by = mentions.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("ord", F.col("position").alias("pos"), F.col("word_count").alias("n")))).alias("ms"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.stage import stage
+from . import knowledge
 
 
 def resolve(titles: DataFrame, redirects: DataFrame) -> DataFrame:
@@ -116,7 +117,7 @@ def rescore(queries: DataFrame, ranked: DataFrame, titles: DataFrame, cut: float
 def unexplained(tokens: Column, title: Column) -> Column:
     """Tokens that a title's words do not explain (equal, under two letters, or over three letters in common); empty if nothing was."""
     words = T.split_words(F.replace(F.lower(title), F.lit("_"), F.lit(" ")))
-    same = lambda t: (F.length(t) < 2) | F.exists(words, lambda w: (w == t) | (F.length(T.longest_common(t, w)) > 3))
+    same = lambda t: (F.length(t) < 2) | F.exists(words, lambda w: (w == t) | T.share_run(t, w))
     rest = F.filter(tokens, lambda t: ~same(t))
     return F.when(F.size(rest) == F.size(tokens), F.array().cast("array<string>")).otherwise(rest)
 
@@ -125,19 +126,48 @@ def _spaced(titles: DataFrame) -> DataFrame:
     return titles.select(F.col("page_id").alias("doc_id"), F.replace("title", F.lit("_"), F.lit(" ")).alias("text"))
 
 
-def cascade(queries: DataFrame, titles: DataFrame, redirects: DataFrame) -> DataFrame:
-    """The first of: whole text as a title, all words in a title, any word in a title re-ranked.
+def kb_answers(queries: DataFrame, titles: DataFrame, properties: DataFrame, claims: DataFrame) -> DataFrame:
+    """``query_id`` and ``value`` of queries whose first word that names a property finds claims of the page that the other words mean.
 
-    ``query_id``, ``page_id`` and ``method`` (``title``, ``all``, ``any``); queries without a match have no row.
-    ``queries`` has ``query_id``, ``text`` and ``words``; each step works on what those before left.
+    The page is the best by any of the words but all equal to that one, re-ranked; queries without claims have no row.
+    """
+    tokens = queries.select("query_id", F.posexplode("words").alias("i", "token"))
+    found = stage(knowledge.break_words(tokens, properties), "kb-words")
+    rest = queries.join(found, "query_id").select("query_id", F.filter("words", lambda w: w != F.col("token")).alias("words"))
+    rest = rest.withColumn("text", F.array_join("words", " "))
+    page = rescore(rest, full_text(rest, postings(_spaced(titles)), False), titles).join(titles.select(F.col("page_id").alias("doc_id"), "title"), "doc_id")
+    subjects = page.select("query_id", F.replace("title", F.lit("_"), F.lit(" ")).alias("subject"))
+    return knowledge.kb_lookup(found, subjects, properties, claims).select("query_id", "value")
+
+
+def corrected_last(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``query_id``, ``text``: the spell-corrected last word, where it differs."""
+    last = queries.where(F.size("words") > 0).select("query_id", F.element_at("words", -1).alias("word"))
+    fixed = spell(last.select("word").distinct(), vocabulary)
+    return last.join(fixed, "word").where("fixed <> word").select("query_id", F.col("fixed").alias("text"))
+
+
+def cascade(queries: DataFrame, titles: DataFrame, redirects: DataFrame, kb: DataFrame | None = None) -> DataFrame:
+    """The first of: an answer of the knowledge base, whole text as a title, the last word as a title, all words in a title, any
+    word in a title re-ranked, the spell-corrected last word as a title.
+
+    ``query_id``, ``page_id`` and ``method`` (``kb``, ``title``, ``word``, ``all``, ``any``, ``spell``); queries without a match have no row.
+    All n-grams are looked up in the pipeline this follows, but only the last, the last word, decides.  ``queries`` has ``query_id``,
+    ``text`` and ``words``, ``kb`` what ``kb_answers`` gives; each step works on what those before left.
     """
     left = lambda done: queries.join(done.select("query_id"), "query_id", "left_anti")
     named = lambda df, c, m: df.select("query_id", F.col(c).alias("page_id"), F.lit(m).alias("method"))
-    posts = postings(_spaced(titles))
-    done = stage(named(match_title(queries.select("query_id", "text"), titles, redirects), "page_id", "title"), "cascade-title")
+    match = lambda q: match_title(q.select("query_id", "text"), titles, redirects)
+    posts = stage(postings(_spaced(titles)), "cascade-posts")
+    none = queries.select("query_id", F.lit(None).cast("bigint").alias("page_id"), F.lit("kb").alias("method"))
+    done = stage(none.join(kb.select("query_id").distinct(), "query_id", "left_semi") if kb is not None else none.limit(0), "cascade-kb")
+    done = stage(done.unionByName(named(match(left(done)), "page_id", "title")), "cascade-title")
+    last = left(done).where(F.size("words") > 0).select("query_id", F.element_at("words", -1).alias("text"))
+    done = stage(done.unionByName(named(match(last), "page_id", "word")), "cascade-word")
     done = stage(done.unionByName(named(best(full_text(left(done), posts, True)), "doc_id", "all")), "cascade-all")
     rest = left(done)
-    return done.unionByName(named(rescore(rest, full_text(rest, posts, False), titles), "doc_id", "any"))
+    done = stage(done.unionByName(named(rescore(rest, full_text(rest, posts, False), titles), "doc_id", "any")), "cascade-any")
+    return done.unionByName(named(match(corrected_last(left(done), posts.select("word").distinct())), "page_id", "spell"))
 
 
 def greedy(queries: DataFrame, titles: DataFrame, redirects: DataFrame) -> DataFrame:
@@ -161,6 +191,20 @@ def greedy(queries: DataFrame, titles: DataFrame, redirects: DataFrame) -> DataF
         live = live.join(hit, "query_id").join(titles.select("page_id", "title"), "page_id").select("query_id", "words", rest.alias("open")).where(F.size("open") > 0)
 
 
+def project(found: DataFrame, queries: DataFrame, titles: DataFrame) -> DataFrame:
+    """Titles of ``greedy`` as spans of the query's words: ``query_id``, ``round``, ``position``, ``word_count``, ``substring``, ``link``.
+
+    A span begins at the first word with a run of over three letters in common with the link and goes on to the
+    last such word, but a word right behind the end found so far does not extend it; without one it is the first word.
+    """
+    rows = found.join(queries.select("query_id", F.split("text", " ").alias("w")), "query_id").join(titles.select("page_id", F.col("title").alias("link")), "page_id")
+    at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: T.share_run(F.get("w", i), F.lower("link")))
+    end = F.aggregate("at", F.lit(0), lambda e, i: F.when(e < i, i + 1).otherwise(e))
+    rows = rows.select("query_id", "round", "w", "link", at.alias("at")).select("query_id", "round", "w", "link", F.coalesce(F.get("at", F.lit(0)), F.lit(0)).alias("position"), F.greatest(end, F.lit(1)).alias("end"))
+    n = F.col("end") - F.col("position")
+    return rows.select("query_id", "round", "position", n.alias("word_count"), F.array_join(F.slice("w", F.col("position") + 1, F.greatest(n, F.lit(0))), " ").alias("substring"), "link")
+
+
 def spell(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Unknown words of over three letters with one neighbour in the vocabulary become it: ``word``, ``fixed``."""
     known = vocabulary.select(F.col("word").alias("key")).distinct()

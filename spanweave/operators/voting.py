@@ -27,28 +27,40 @@ def surface_votes(cands: DataFrame, rel: DataFrame) -> DataFrame:
 
 
 def votes(mentions: DataFrame, cands: DataFrame, rel: DataFrame) -> DataFrame:
-    """``query_id``, ``ord``, ``rank``, ``link``, ``prob``, ``vote`` of every candidate of every mention, demoted ones too."""
+    """``query_id``, ``ord`` and ``votes`` (``rank``, ``link``, ``prob``, ``vote`` of every candidate) of every mention, demoted ones too.
+
+    Mentions are dealt by query once, as narrow rows; a query's sums, the map of them and its mentions
+    then meet without another shuffle, and a mention stays one row.
+    """
     each = surface_votes(cands, rel)
-    said = mentions.select("query_id", "surface").join(each, "surface").groupBy("query_id", "target").agg(F.sum("vote").alias("all"))
+    said = each.groupBy("surface").agg(F.collect_list(F.struct("target", "vote")).alias("said"))
     own = cands.join(each.withColumnRenamed("target", "link"), ["surface", "link"], "left").select("surface", "rank", "link", "prob", F.coalesce("vote", F.lit(0.0)).alias("own"))
-    targets = mentions.select("query_id", "ord", "surface").join(own, "surface").join(said.withColumnRenamed("target", "link"), ["query_id", "link"], "left")
-    vote = F.round(F.greatest(F.coalesce("all", F.lit(0.0)) - F.col("own"), F.lit(0.0)), 9)
-    return targets.select("query_id", "ord", "surface", "rank", "link", "prob", vote.alias("vote"))
+    lists = own.groupBy("surface").agg(F.sort_array(F.collect_list(F.struct("rank", "link", "prob", "own"))).alias("cands"))
+    rows = mentions.select("query_id", "ord", "surface").repartition("query_id")
+    sums = rows.join(said, "surface").select("query_id", F.inline("said")).groupBy("query_id", "target").agg(F.sum("vote").alias("sum"))
+    sums = sums.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("target", "sum"))).alias("sums"))
+    total = lambda c: F.coalesce(F.try_element_at("sums", c["link"]), F.lit(0.0))
+    vote = lambda c: F.round(F.greatest(total(c) - c["own"], F.lit(0.0)), 9)
+    made = F.transform("cands", lambda c: F.struct(c["rank"].alias("rank"), c["link"].alias("link"), c["prob"].alias("prob"), vote(c).alias("vote")))
+    return rows.join(lists, "surface").join(sums, "query_id", "left").select("query_id", "ord", made.alias("votes"))
+
+
+def _choice(of: Column, none: Column) -> Column:
+    """Place in the list of the greatest prior, the first of equals."""
+    best = F.array_max(F.transform(of, lambda c: F.struct(c["prob"].alias("p"), (-c["rank"]).alias("r"))))
+    return (F.coalesce(-best["r"], none) - 1).cast("int").alias("chosen")
 
 
 def choose_epsilon(voted: DataFrame, epsilon: float | None = None) -> DataFrame:
     """Among votes of ``epsilon`` or more the greatest prior, the first of equals; none: the first candidate."""
-    fit = F.when((F.col("vote") >= (epsilon or EPSILON)) & (F.col("prob") > 0), F.struct("prob", -F.col("rank")))
-    got = voted.groupBy("query_id", "ord").agg(F.max(fit).alias("best"), F.min("rank").alias("first"))
-    return got.select("query_id", "ord", (F.coalesce(-F.col("best")["col2"], F.col("first")) - 1).cast("int").alias("chosen"))
+    fit = F.filter("votes", lambda c: (c["vote"] >= (epsilon or EPSILON)) & (c["prob"] > 0))
+    return voted.select("query_id", "ord", _choice(fit, F.element_at("votes", 1)["rank"]))
 
 
-def choose_topk(voted: DataFrame, part_limit: int = 10) -> DataFrame:
-    """Among the ``part_limit`` greatest votes (earlier candidates first of equals) the greatest prior."""
-    w = Window.partitionBy("query_id", "ord").orderBy(F.desc("vote"), "rank")
-    top = voted.withColumn("r", F.row_number().over(w)).where(F.col("r") <= part_limit)
-    got = top.groupBy("query_id", "ord").agg(F.max(F.struct("prob", -F.col("rank"))).alias("best"))
-    return got.select("query_id", "ord", (-F.col("best")["col2"] - 1).cast("int").alias("chosen"))
+def choose_topk(voted: DataFrame, part_limit: int = 10, digits: int = 9) -> DataFrame:
+    """Among the ``part_limit`` greatest votes, to ``digits`` places (earlier candidates first of equals) the greatest prior."""
+    order = F.transform("votes", lambda c: F.struct((-F.round(c["vote"], digits)).alias("v"), c["rank"].alias("rank"), c["prob"].alias("prob")))
+    return voted.select("query_id", "ord", _choice(F.slice(F.array_sort(order), 1, part_limit), F.lit(None)))
 
 
 def with_choice(mentions: DataFrame, chosen: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -104,7 +116,8 @@ def dp_choice(mentions: DataFrame, dictionary: DataFrame, rel: DataFrame, sessio
     """Chain program over a query's mentions in list order; ``compat`` leaves the first of several as it was.
 
     Scores against the previous mention's candidates depend on the two surfaces only, so the
-    matrices are made once for each pair of surfaces that stand side by side.
+    matrices are made once for each pair of surfaces that stand side by side.  A session's history is
+    one map, joined once a query.
     """
     cands = limit(dictionary, k)
     lists = cands.groupBy("surface").agg(F.sort_array(F.collect_list(F.struct("rank", "link", "prob"))).alias("cands"))
@@ -115,11 +128,13 @@ def dp_choice(mentions: DataFrame, dictionary: DataFrame, rel: DataFrame, sessio
     one = one.join(rel.select(F.col("e1").alias("l"), F.col("e2").alias("pl"), "rel"), ["l", "pl"], "left")
     line = one.groupBy("before", "surface", "r").agg(F.sort_array(F.collect_list(F.struct("pr", F.coalesce("rel", F.lit(0.0)).alias("v")))).alias("row"))
     matrix = line.groupBy("before", "surface").agg(F.sort_array(F.collect_list(F.struct("r", F.col("row.v").alias("v")))).alias("rows")).select("before", "surface", F.col("rows.v").alias("matrix"))
-    known = first_seen(mentions, sessions).groupBy("session_id").agg(F.collect_list(F.struct("link", "since")).alias("seen"))
-    rows = rows.join(lists, "surface").join(sessions, "query_id").join(known, "session_id", "left").join(matrix, ["before", "surface"], "left")
-    had = lambda c: F.coalesce(F.exists("seen", lambda s: (s["link"] == c["link"]) & (s["since"] <= F.col("query_ord"))), F.lit(False))
-    base = F.transform("cands", lambda c: c["prob"] * F.when(had(c), F.lit(BOOST)).otherwise(F.lit(1.0)))
-    ms = rows.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("ord", base.alias("base"), F.coalesce("matrix", F.array().cast("array<array<double>>")).alias("matrix")))).alias("ms"))
+    one = F.struct("ord", "cands", F.coalesce("matrix", F.array().cast("array<array<double>>")).alias("matrix"))
+    listed = rows.join(lists, "surface").join(matrix, ["before", "surface"], "left").groupBy("query_id").agg(F.sort_array(F.collect_list(one)).alias("ms"))
+    known = first_seen(mentions, sessions).groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct("link", "since"))).alias("seen"))
+    history = sessions.join(known, "session_id", "left").select("query_id", "query_ord", "seen")
+    had = lambda c: F.coalesce(F.try_element_at("seen", c["link"]) <= F.col("query_ord"), F.lit(False))
+    base = lambda m: F.transform(m["cands"], lambda c: c["prob"] * F.when(had(c), F.lit(BOOST)).otherwise(F.lit(1.0)))
+    ms = listed.join(history, "query_id").select("query_id", F.transform("ms", lambda m: F.struct(m["ord"].alias("ord"), base(m).alias("base"), m["matrix"].alias("matrix"))).alias("ms"))
     state = "array<struct<v:double,path:array<int>>>"
     start = F.transform(F.element_at("ms", 1)["base"], lambda b, i: F.struct(b.alias("v"), F.array(i).alias("path"))).cast(state)
 
@@ -135,9 +150,9 @@ def dp_choice(mentions: DataFrame, dictionary: DataFrame, rel: DataFrame, sessio
     done = ms.select("query_id", F.transform("ms", lambda m: m["ord"]).alias("ords"), F.aggregate(F.slice("ms", 2, F.size("ms")), start, step).alias("end"))
     top = F.array_max(F.transform("end", lambda s: s["v"]))
     best = F.when(top > 0, F.element_at(F.filter("end", lambda s: s["v"] == top), 1)).otherwise(F.element_at("end", -1))
-    out = done.select("query_id", F.posexplode(F.arrays_zip("ords", best["path"].alias("path"))).alias("i", "x"))
+    out = done.select("query_id", F.size("ords").alias("m"), F.posexplode(F.arrays_zip("ords", best["path"].alias("path"))).alias("i", "x"))
     if compat:
-        out = out.join(done.select("query_id", F.size("ords").alias("m")), "query_id").where((F.col("i") > 0) | (F.col("m") == 1))
+        out = out.where((F.col("i") > 0) | (F.col("m") == 1))
     return out.select("query_id", F.col("x.ords").alias("ord"), F.col("x.path").alias("chosen"))
 
 

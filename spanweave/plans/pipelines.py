@@ -8,15 +8,18 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import scoring, segment, voting
+from ..functions import text as T
+from ..operators import knowledge, scoring, segment, voting
 from ..sources import tables
-from ..sources.stage import stage
+from ..sources.stage import once, stage
 
 
 @dataclass
 class Linker:
     """One run's tables; parameters default to values that reach every branch on the test tables.
 
+    Dictionary, queries, gold, relatedness and mentions are stored once in an application for each folder of tables.
+
     Tables that feed several branches are stored in the shared folder between the steps, so
     plans stay small and a lost executor costs no step before.
     """
@@ -31,13 +34,16 @@ class Linker:
     dp_theta: float = 0.11
     compat: bool = True
 
+    def _once(self, name: str, make) -> DataFrame:
+        return once(make, self.spark, self.sf_dir, name)
+
     @cached_property
     def dictionary(self) -> DataFrame:
-        return stage(tables.mention_dict(self.spark, self.sf_dir), "dictionary")
+        return self._once("dictionary", lambda: tables.mention_dict(self.spark, self.sf_dir))
 
     @cached_property
     def queries(self) -> DataFrame:
-        return stage(tables.queries(self.spark, self.sf_dir), "queries")
+        return self._once("queries", lambda: tables.queries(self.spark, self.sf_dir))
 
     @cached_property
     def sessions(self) -> DataFrame:
@@ -45,11 +51,11 @@ class Linker:
 
     @cached_property
     def gold(self) -> DataFrame:
-        return tables.gold(self.spark, self.sf_dir)
+        return self._once("gold", lambda: tables.gold(self.spark, self.sf_dir))
 
     @cached_property
     def rel(self) -> DataFrame:
-        return stage(tables.relatedness(self.spark, self.sf_dir), "relatedness")
+        return self._once("relatedness", lambda: tables.relatedness(self.spark, self.sf_dir))
 
     @cached_property
     def candidates(self) -> DataFrame:
@@ -57,10 +63,26 @@ class Linker:
 
     @cached_property
     def mentions(self) -> DataFrame:
-        return stage(segment.resolve_overlaps(self.candidates), "mentions")
+        return self._once(f"mentions-{self.max_n}", lambda: segment.resolve_overlaps(self.candidates))
 
-    def prior(self) -> DataFrame:
-        m = self.mentions
+    @cached_property
+    def corrections(self) -> DataFrame:
+        return self._once("corrections", lambda: tables.corrections(self.dictionary))
+
+    @cached_property
+    def cascaded(self) -> DataFrame:
+        """Candidates of typed queries: no stop words, n-grams of any length, each looked up by the cascade."""
+        typed = tables.typed_queries(self.queries).select("query_id", segment.stopwords(F.col("tokens"), compat=self.compat).alias("tokens"))
+        term = F.col("surface")
+        variants = [("singular", T.singularize(term)), ("plural", T.pluralize(term)), ("soft", T.soft_fix(term)), ("hard", T.hard_fix(term))]
+        return segment.lookup_cascade(segment.ngrams(typed), self.dictionary, variants)
+
+    def valid(self, mentions: DataFrame) -> DataFrame:
+        """Mentions with canonical links."""
+        return knowledge.validate(mentions, self.corrections)
+
+    def prior(self, mentions: DataFrame | None = None) -> DataFrame:
+        m = self.mentions if mentions is None else mentions
         on = F.col("chosen") >= 0
         return m.select(*(c for c in m.columns if c not in ("link0", "p0")), F.when(on, F.col("link0")).alias("link"), F.when(on, F.col("p0")).alias("prob"))
 
@@ -79,13 +101,14 @@ class Linker:
         return stage(kept, "kept"), stage(total, "total")
 
     def combined(self) -> tuple[DataFrame, DataFrame]:
-        """Predictions of the winner of each query, and the winners."""
-        t, t_total = self.pruned(self.by_voting(), self.theta)
-        d, d_total = self.pruned(self.by_dynamic(), self.dp_theta)
+        """Predictions of the winner of each query, and the winners; links are canonical before pruning."""
+        t, t_total = self.pruned(self.valid(self.by_voting()), self.theta)
+        d, d_total = self.pruned(self.valid(self.by_dynamic()), self.dp_theta)
         winners = stage(voting.arbitrate(voting.confidence(self.queries, t, t_total), voting.confidence(self.queries, d, d_total)), "winners")
         one = lambda x, name: x.join(winners.where(F.col("winner") == name).select("query_id"), "query_id", "left_semi")
         return one(t, "voting").unionByName(one(d, "dynamic")), winners
 
-    def score(self, predicted: DataFrame) -> DataFrame:
+    def score(self, predicted: DataFrame, canonical: bool = True) -> DataFrame:
+        """Figures against the gold spans, with ``canonical`` links on both sides (``predicted`` has them)."""
         active = predicted.where("chosen >= 0").select("query_id", "ord", "position", "word_count", "surface", "link")
-        return scoring.evaluate(active, stage(self.gold, "gold"))
+        return scoring.evaluate(active, self.valid(self.gold) if canonical else self.gold)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import knowledge, scoring, segment, titles, voting
-from ..sources import sinks, tables
+from ..sources import sessions_xml, sinks, tables
+from ..sources.stage import root
 from .pipelines import Linker
 
 QUERIES = {}
@@ -77,7 +79,49 @@ def gold_ratings(x):
 
 @query
 def baseline_f1(x):
-    return x.score(x.prior())
+    return x.score(x.prior(), canonical=False)
+
+
+@query
+def lookup_cascade(x):
+    return x.cascaded.select("query_id", "position", "word_count", "surface", "matched", "turn")
+
+
+@query
+def cascade_f1(x):
+    """Any n, stop words, lookup cascade and the first candidate; only gold links are made canonical, as in the pipeline this follows."""
+    return x.score(x.prior(segment.resolve_overlaps(x.cascaded)))
+
+
+@query
+def fewest_candidates(x):
+    return segment.fewest_candidates(x.candidates)
+
+
+@query
+def annotator_f1(x):
+    found = segment.from_annotator(x.queries, tables.annotations(x.spark, x.sf_dir))
+    return x.score(found, canonical=False)
+
+
+@query
+def clean_candidates(x):
+    return segment.clean(x.mentions, x.dictionary).select("query_id", "ord", "surface", "chosen", "link", F.round("prob", 9).alias("prob"))
+
+
+@query
+def queries_with_gold(x):
+    return segment.with_gold(x.queries, x.gold.where(F.col("substring").startswith("cold"))).select("query_id", "text")
+
+
+@query
+def xml_sessions(x):
+    """Sessions with predictions, written as XML and read again."""
+    path = f"{root(x.spark)}/xml-{uuid.uuid4().hex}"
+    sinks.write_sessions_xml(sinks.annotated_sessions(x.queries, x.sessions, x.prior()), path)
+    back = sessions_xml.read_sessions(x.spark, path, ordered=False)
+    each = back.select("session_id", F.col("starttime").cast("int").alias("query_ord"), "text", F.posexplode_outer("annotations").alias("i", "a"))
+    return each.select("session_id", "query_ord", "text", "i", F.col("a.span").alias("span"), F.col("a.target._VALUE").alias("link"))
 
 
 @query
@@ -92,7 +136,8 @@ def surface_vote(x):
 
 @query
 def vote(x):
-    return x.voted.groupBy("query_id", "ord").agg(F.round(F.sum("vote"), 9).alias("votes"), F.count("*").alias("n"))
+    total = F.aggregate("votes", F.lit(0.0), lambda a, c: a + c["vote"])
+    return x.voted.select("query_id", "ord", F.round(total, 9).alias("votes"), F.size("votes").cast("bigint").alias("n"))
 
 
 @query
@@ -102,7 +147,7 @@ def choose_epsilon(x):
 
 @query
 def choose_topk(x):
-    return voting.choose_topk(x.voted.withColumn("vote", F.round("vote", 7)), 10)
+    return voting.choose_topk(x.voted, 10, 7)
 
 
 @query
@@ -141,12 +186,12 @@ def confidence(x):
 
 @query
 def improved_f1(x):
-    return x.score(x.pruned(x.prior(), x.theta)[0])
+    return x.score(x.pruned(x.valid(x.prior()), x.theta)[0])
 
 
 @query
 def voting_f1(x):
-    return x.score(x.pruned(x.by_voting(), x.theta)[0])
+    return x.score(x.pruned(x.valid(x.by_voting()), x.theta)[0])
 
 
 @query
@@ -166,7 +211,7 @@ def dp_choice(x):
 
 @query
 def dynamic_f1(x):
-    return x.score(x.pruned(x.by_dynamic(), x.dp_theta)[0])
+    return x.score(x.valid(x.pruned(x.by_dynamic(), x.dp_theta)[0]))
 
 
 @query
@@ -222,17 +267,25 @@ def homogeneity(x):
 
 @query
 def segment_score(x):
-    return x.candidates.select("query_id", "position", "word_count", F.round(3.0 * F.col("word_count") + 3.0 / F.col("n_cands") + 3.0 * F.col("p0"), 6).alias("score"))
+    tags = F.size(F.array_distinct(F.transform(F.split("surface", " "), T.tag)))
+    alike = F.greatest(1.5 - tags / 2, F.lit(0.0))
+    return x.candidates.select("query_id", "position", "word_count", F.round(3.0 * F.col("word_count") + 3.0 / F.col("n_cands") + alike + 3.0 * F.col("p0"), 6).alias("score"))
+
+
+def _title_tokens(x):
+    """Typed titles as queries: a query of n words has 2^(n-1) segmentations and 2^n - 1 subsets, so orders of up to 34 words are out of reach for any plan."""
+    typed = tables.title_queries(x.spark, x.sf_dir)
+    return typed.select("query_id", F.filter(F.split("text", " "), lambda t: t != "").alias("tokens"))
 
 
 @query
 def segmentations(x):
-    return segment.segmentation_rows(x.queries)
+    return segment.segmentation_rows(_title_tokens(x))
 
 
 @query
 def word_subsets(x):
-    return segment.subset_rows(x.queries)
+    return segment.subset_rows(_title_tokens(x))
 
 
 @query
@@ -293,7 +346,9 @@ def ft_or_best(x):
 
 @query
 def title_cascade(x):
-    return titles.cascade(_word_queries(x), tables.titles(x.spark, x.sf_dir), tables.redirects(x.spark, x.sf_dir))
+    pages, words = tables.titles(x.spark, x.sf_dir), _word_queries(x)
+    kb = titles.kb_answers(words, pages, tables.properties(x.spark), tables.claims(x.spark, x.sf_dir))
+    return titles.cascade(words, pages, tables.redirects(x.spark, x.sf_dir), kb)
 
 
 @query
@@ -301,6 +356,12 @@ def title_greedy(x):
     return titles.greedy(_word_queries(x), tables.titles(x.spark, x.sf_dir), tables.redirects(x.spark, x.sf_dir))
 
 
+@query
+def title_project(x):
+    pages = tables.titles(x.spark, x.sf_dir)
+    return titles.project(titles.greedy(_word_queries(x), pages, tables.redirects(x.spark, x.sf_dir)), tables.title_queries(x.spark, x.sf_dir), pages)
+
+
 @query
 def title_rescore(x):
     return titles.rescore(_word_queries(x), titles.full_text(_word_queries(x), _title_posts(x), False), tables.titles(x.spark, x.sf_dir))
@@ -318,6 +379,47 @@ def spell(x):
     return titles.spell(typed, w)
 
 
+@query
+def dict_file(x):
+    return knowledge.build_dictionary(tables.dictionary_file(x.spark, x.sf_dir), 64)
+
+
+@query
+def token_position(x):
+    items = tables.load(x.spark, x.sf_dir, "benchmark").select("item_id", "text", F.explode(F.sequence(F.lit(0), F.length("text") - 1)).alias("start"))
+    return items.select("item_id", "start", T.token_at(F.col("text"), F.col("start")).alias("token"), T.token_at(F.col("text"), F.col("start"), True).alias("last"))
+
+
+@query
+def insert_check(x):
+    w = x.dictionary.select("surface").distinct()
+    short = F.regexp_replace("surface", "[aeio]", "")
+    return w.select("surface", T.insert_check(short, F.col("surface")).alias("dropped"), T.insert_check(F.col("surface"), short).alias("longer"), T.insert_check(F.reverse("surface"), F.col("surface")).alias("reversed"))
+
+
+@query
+def longest_common(x):
+    w = x.dictionary.where("instr(surface, ' ') = 0").select(F.col("surface").alias("a")).distinct()
+    one = w.select(F.explode(F.array(*map(F.lit, ("gadgets", "ringlet", "oldest", "revolt")))).alias("b"), "a")
+    return one.select("a", "b", T.longest_common(F.col("a"), F.col("b")).alias("common"))
+
+
+def _options(x):
+    """Pages whose title begins with the first word of a typed title, ranked by its other words in summary and content."""
+    pages = tables.snapshots(x.spark, x.sf_dir)
+    words = _word_queries(x).where("size(words) > 0").select("query_id", F.element_at("words", 1).alias("first"), F.slice("words", 2, F.greatest(F.size("words"), F.lit(1))).alias("words"))
+    pages = pages.withColumn("first", F.try_element_at(titles.words_of(F.replace("title", F.lit("_"), F.lit(" "))), F.lit(1)))
+    pairs = words.join(pages, "first")
+    ranks = lambda c: titles.full_text(words, titles.postings(pages.select(F.col("page_id").alias("doc_id"), F.col(c).alias("text"))), False).select("query_id", F.col("doc_id").alias("page_id"), F.col("rank").alias(c + "_rank"))
+    got = pairs.join(ranks("summary"), ["query_id", "page_id"], "left").join(ranks("content"), ["query_id", "page_id"], "left")
+    return got.select("query_id", "page_id", "title", "is_ambiguous", F.coalesce("summary_rank", F.lit(0.0)).alias("summary_rank"), F.coalesce("content_rank", F.lit(0.0)).alias("content_rank"))
+
+
+@query
+def disambiguation(x):
+    return knowledge.disambiguate(_options(x))
+
+
 def _kb_tokens(x):
     s = tables.load(x.spark, x.sf_dir, "supplier")
     words = F.array(F.lit("what"), F.when(F.col("s_suppkey") % 3 == 0, "nations").when(F.col("s_suppkey") % 3 == 1, "founded").otherwise("numb"), F.lit("of"), F.lit("country"))

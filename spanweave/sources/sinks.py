@@ -20,10 +20,21 @@ def export_rows(queries: DataFrame, predicted: DataFrame) -> DataFrame:
 
 
 def layers(mentions: DataFrame) -> DataFrame:
-    """Terminal lines: mentions of a query that crossing ones push down; here by length, then position."""
-    one = F.struct(F.col("word_count").alias("layer"), "position", "surface")
-    got = mentions.groupBy("query_id", F.col("word_count").alias("layer")).agg(F.sort_array(F.collect_list(one)).alias("m"))
-    return got.select("query_id", "layer", F.array_join(F.transform("m", lambda c: F.concat(F.lit("["), c["surface"], F.lit("]"))), " ").alias("line"))
+    """Terminal lines of a query: mentions by position, each on the first line whose mentions end before it."""
+    one = F.struct("position", "ord", "word_count", "surface")
+    got = mentions.groupBy("query_id").agg(F.sort_array(F.collect_list(one)).alias("m"))
+    state = "struct<ends:array<int>,out:array<int>>"
+    start = F.struct(F.array().alias("ends"), F.array().alias("out")).cast(state)
+
+    def step(s, m):
+        free = F.filter(F.sequence(F.lit(1), F.size(s["ends"]) + 1), lambda i: F.coalesce(F.get(s["ends"], i - 1), F.lit(0)) <= m["position"])
+        at, end = F.element_at(free, 1), (m["position"] + m["word_count"]).cast("int")
+        ends = F.when(at > F.size(s["ends"]), F.array_append(s["ends"], end)).otherwise(F.transform(s["ends"], lambda e, i: F.when(i + 1 == at, end).otherwise(e)))
+        return F.struct(ends.alias("ends"), F.array_append(s["out"], at).alias("out")).cast(state)
+
+    placed = got.select("query_id", F.inline(F.arrays_zip("m", F.aggregate("m", start, step)["out"].alias("layer")))).select("query_id", "layer", "m")
+    lines = placed.groupBy("query_id", "layer").agg(F.sort_array(F.collect_list(F.col("m"))).alias("m"))
+    return lines.select("query_id", "layer", F.array_join(F.transform("m", lambda c: F.concat(F.lit("["), c["surface"], F.lit("]"))), " ").alias("line"))
 
 
 def run_diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -33,6 +44,23 @@ def run_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.where(~F.col("old_link").eqNullSafe(F.col("new_link")))
 
 
+def annotated_sessions(queries: DataFrame, sessions: DataFrame, predicted: DataFrame) -> DataFrame:
+    """``_id`` and ``query`` of each session: its queries in order with all their mentions, those without a choice as a span alone."""
+    target = F.when(F.col("chosen") >= 0, F.struct(F.col("link").alias("_VALUE")))
+    one = F.struct("position", "ord", F.struct(F.col("surface").alias("span"), target.alias("target")).alias("a"))
+    found = predicted.groupBy("query_id").agg(F.collect_list(one).alias("m"))
+    marks = found.select("query_id", F.transform(F.array_sort("m", lambda x, y: F.when(x["position"] < y["position"], -1).when(x["position"] > y["position"], 1).otherwise(x["ord"] - y["ord"])), lambda m: m["a"]).alias("annotation"))
+    rows = queries.join(sessions, "query_id").join(marks, "query_id", "left")
+    each = F.struct(F.col("query_ord"), F.struct(F.col("query_ord").cast("string").alias("_starttime"), "text", "annotation").alias("q"))
+    by = rows.groupBy(F.col("session_id").cast("string").alias("_id")).agg(F.collect_list(each).alias("q"))
+    return by.select("_id", F.transform(F.array_sort("q", lambda x, y: x["query_ord"] - y["query_ord"]), lambda q: q["q"]).alias("query"))
+
+
 def write_sessions_xml(annotated: DataFrame, path: str) -> None:
     """``_id`` and ``query`` (array of structs) as annotated XML."""
     annotated.write.format("xml").option("rootTag", "webscope").option("rowTag", "session").save(path)
+
+
+def write_corrections(corrections: DataFrame, path: str) -> None:
+    """The map of links to canonical ones, kept for a later run."""
+    corrections.select("link", "canonical").write.mode("overwrite").parquet(path)

@@ -2,23 +2,51 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL_ROOTS: dict[str, str] = {}
+_HELD: dict[tuple[str, str, str], DataFrame] = {}
+_ENDING: set[str] = set()
+
 
 def root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset, a temporary folder, in local mode only."""
-    if not spark.conf.get("spark.checkpoint.dir", None):
+    """This application's folder below ``spark.checkpoint.dir``; where that is unset, a temporary one, in local mode only."""
+    shared, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
+    if not shared:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="spanweave-"))
-    return spark.conf.get("spark.checkpoint.dir").rstrip("/")
+        shared = _LOCAL_ROOTS.get(app) or _LOCAL_ROOTS.setdefault(app, "file://" + tempfile.mkdtemp(prefix="spanweave-"))
+    return f"{shared.rstrip('/')}/spanweave-linking-{app}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back: later plans start from files, whatever made them."""
-    path = f"{root(df.sparkSession)}/spanweave-{df.sparkSession.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    if spark.sparkContext.applicationId not in _ENDING:
+        _ENDING.add(spark.sparkContext.applicationId)
+        atexit.register(release, spark)
+    path = f"{root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def once(make: Callable[[], DataFrame], spark: SparkSession, source: str, name: str) -> DataFrame:
+    """``stage`` of what ``make`` builds from the tables in ``source``, built once in an application."""
+    key = (spark.sparkContext.applicationId, source, name)
+    if key not in _HELD:
+        _HELD[key] = stage(make(), name)
+    return _HELD[key]
+
+
+def release(spark: SparkSession) -> None:
+    """Delete this application's stored tables, once all results are stored; also at the end of the driver."""
+    _HELD.clear()
+    if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
+        return
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

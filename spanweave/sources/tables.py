@@ -85,6 +85,40 @@ def title_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return titles(spark, sf_dir).select(F.col("page_id").alias("query_id"), typed.alias("text"))
 
 
+def corrections(dictionary: DataFrame) -> DataFrame:
+    """``link`` and ``canonical``: of brands whose number ends in 5 or 0, the one before."""
+    number = F.split("link", "#")[1].cast("int")
+    return dictionary.select("link").distinct().where(number % 5 == 0).select("link", F.concat(F.lit("Brand#"), (number - 1).cast("string")).alias("canonical"))
+
+
+def typed_queries(queries: DataFrame) -> DataFrame:
+    """``query_id``, ``tokens``: queries as people type them, some words in the plural, with marks, or single letters between."""
+    at = lambda i: (F.col("query_id") + i) % 5
+    typed = F.transform("tokens", lambda w, i: F.when(at(i) == 0, F.concat(w, F.lit("s"))).when(at(i) == 1, F.concat(w, F.lit("!"))).otherwise(w))
+    return queries.select("query_id", F.concat(typed, F.when(F.col("query_id") % 3 == 0, F.array(F.lit("o"), F.lit("r"), F.lit("o"))).otherwise(F.array().cast("array<string>"))).alias("tokens"))
+
+
+def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of an annotator, as a snapshot: every second item of a query at its place in the text, some with the brand of another."""
+    each = items(spark, sf_dir).select("query_id", "names", F.posexplode(F.arrays_zip("names", "brands")).alias("i", "x")).where("i % 2 = 0")
+    start = F.length(F.array_join(F.slice("names", 1, F.col("i")), " ")) + F.when(F.col("i") > 0, 1).otherwise(0)
+    link = F.when((F.col("query_id") + F.col("i")) % 5 == 0, "Brand#11").otherwise(F.col("x.brands"))
+    return each.select("query_id", start.alias("start"), F.col("x.names").alias("surface"), link.alias("link"), F.lit(1.0).alias("prob"))
+
+
+def dictionary_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a dictionary file: parts in order of their keys, with brands and priors; some lines lack a link."""
+    line = F.when(F.col("p_partkey") % 10 == 0, F.lit("0.5")).otherwise(F.concat(F.format_number(1 / (F.col("p_size") + 1), 4), F.lit(" "), F.col("p_brand"), F.lit(" rest")))
+    return load(spark, sf_dir, "part").select(F.col("p_partkey").alias("line_no"), F.element_at(F.split("p_name", " "), 1).alias("surface"), line.alias("value"))
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``page_id``, ``title``, ``summary``, ``content``, ``is_ambiguous`` of pages: head line, text without tags, and titles of up to four words."""
+    plain = F.regexp_replace(F.regexp_replace("html", "(?s)<(script|style)>.*?</(script|style)>", " "), "(?s)<[^>]*>", " ")
+    got = load(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("t"), F.regexp_extract("html", "(?s)<h1>(.*?)</h1>", 1).alias("summary"), plain.alias("content"))
+    return got.where("t <> ''").select("page_id", F.replace("t", F.lit(" "), F.lit("_")).alias("title"), "summary", "content", (F.size(F.split("t", " ")) <= 4).alias("is_ambiguous"))
+
+
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subject, property, object, datatype: suppliers and nations with their places and balances."""
     s, n, r = (load(spark, sf_dir, t) for t in ("supplier", "nation", "region"))

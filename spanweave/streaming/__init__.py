@@ -1 +1 @@
-"""Session state over a stream of queries."""
+"""Session state over streams of queries."""

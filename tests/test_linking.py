@@ -1,3 +1,5 @@
+import itertools
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -39,6 +41,12 @@ def test_soft_fix(spark, before, after):
 def test_unquote(spark):
     assert one(spark, T.unquote(F.lit("a+b%27"))) == "a+b'"
     assert one(spark, T.unquote(F.lit("100% of"))) == "100% of"
+    assert one(spark, T.unquote(F.lit("100% of caf%C3%A9s %zz+"))) == "100% of cafés %zz+"
+
+
+def test_remove_accents(spark):
+    assert one(spark, T.remove_accents(F.lit("Ǻñ ﬁne ½ Łódź Tiếng 日本"))) == "An fine 12 odz Tieng "
+    assert one(spark, T.remove_accents(F.lit("plain"))) == "plain" and one(spark, T.remove_accents(F.lit(None).cast("string"))) is None
 
 
 def test_word_comparison(spark):
@@ -65,6 +73,17 @@ def test_dictionary_runs(spark):
     assert [(r.surface, r.link) for r in got.collect()] == [("a", "L0"), ("a", "L1"), ("b", "L2")]
 
 
+@pytest.mark.parametrize("block", [1, 2, 3, 100])
+def test_dictionary_runs_across_blocks(spark, block):
+    keys = "aaaabbbbbbaacccccccabd"
+    rows = [(i, s, None if i % 7 == 6 else "0.5" if i % 11 == 10 else f"0.5 L{i} more") for i, s in enumerate(keys)]
+    kept = [(s, f"L{i}") for i, s, v in rows if v and " " in v]
+    runs = [(k, [x for _, x in same]) for k, same in itertools.groupby(kept, key=lambda x: x[0])][:-1]
+    want = {k: v for k, v in reversed(runs)}
+    got = knowledge.build_dictionary(spark.createDataFrame(rows, "line_no long, surface string, value string"), block).orderBy("surface", "rank").collect()
+    assert [(r.surface, r.link) for r in got] == [(k, x) for k in sorted(want) for x in want[k]]
+
+
 def test_published_figures(spark):
     r = scoring.figures(spark.createDataFrame([(353, 54, 399, 312)], "tp_s long, tp_l long, fp long, fn long")).first()
     assert [round(x, 4) for x in r[4:]] == [0.438, 0.5308, 0.4799, 0.505, 0.5661, 0.5338]
@@ -92,6 +111,39 @@ def test_title_cascade(spark):
     assert {(r.query_id, r.page_id, r.method) for r in got} == {(0, 1, "title"), (1, 1, "all"), (2, 4, "any")}
 
 
+def test_title_cascade_by_last_word_spelling_and_knowledge(spark):
+    queries, pages, redirects = title_frames(spark, ["one two three aple", "zzzz yyyy bluee", "founded river bank blue"])
+    properties = spark.createDataFrame([("P3", "founded", 1)], "pid string, break_word string, ord int")
+    claims = spark.createDataFrame([("Blue river bank", "P3", "+1990", "time"), ("Blue river bank", "P4", "x", "item")], "subject string, property string, object string, datatype string")
+    kb = titles.kb_answers(queries, pages, properties, claims)
+    assert [tuple(r) for r in kb.collect()] == [(2, "+1990")]
+    got = titles.cascade(queries, pages.union(spark.createDataFrame([(9, "Blue")], "page_id long, title string")), redirects, kb).collect()
+    assert {(r.query_id, r.page_id, r.method) for r in got} == {(0, 2, "word"), (1, 9, "word"), (2, None, "kb")}
+    far = spark.createDataFrame([(5, "zz abcdefgx", ["zz", "abcdefgx"])], "query_id long, text string, words array<string>")
+    page = spark.createDataFrame([(7, "Abcdefgh long name"), (8, "Abcdefgh")], "page_id long, title string")
+    assert [tuple(r) for r in titles.corrected_last(far, spark.createDataFrame([("abcdefgh",), ("long",)], "word string")).collect()] == [(5, "abcdefgh")]
+    assert {(r.query_id, r.page_id, r.method) for r in titles.cascade(far, page, redirects).collect()} == {(5, 8, "word")}
+
+
+def test_projected_titles(spark):
+    queries, pages, redirects = title_frames(spark, ["my blue river bank song apple", "apple"])
+    found = spark.createDataFrame([(0, 1, 3), (0, 2, 2), (1, 0, 1)], "query_id long, round int, page_id long")
+    got = titles.project(found, queries, pages).collect()
+    assert {(r.query_id, r.round, r.position, r.word_count, r.substring) for r in got} == {(0, 1, 1, 3, "blue river bank"), (0, 2, 5, 1, "apple"), (1, 0, 0, 1, "apple")}
+
+
+def test_layers(spark):
+    rows = [(1, 1, 0, 3, "a b c"), (1, 2, 1, 2, "b c"), (1, 3, 3, 1, "d"), (1, 4, 0, 1, "a"), (1, 5, 2, 1, "c")]
+    got = sinks.layers(spark.createDataFrame(rows, "query_id long, ord int, position int, word_count int, surface string")).collect()
+    assert {(r.layer, r.line) for r in got} == {(1, "[a b c] [d]"), (2, "[a] [b c]"), (3, "[c]")}
+
+
+def test_canonical_links(spark):
+    fixes = spark.createDataFrame([("A", "B"), ("C", "D%20E")], "link string, canonical string")
+    rows = spark.createDataFrame([(1, "A"), (2, "A_(disambiguation)"), (3, "C"), (4, "X"), (5, None)], "query_id long, link string")
+    assert {tuple(r) for r in knowledge.validate(rows, fixes).select("query_id", "link").collect()} == {(1, "B"), (2, "B"), (3, "D E"), (4, "X"), (5, None)}
+
+
 def test_titles_taken_greedily(spark):
     got = titles.greedy(*title_frames(spark, ["apple", "song river apple", "nothing here"])).collect()
     assert {(r.query_id, r.round, r.page_id) for r in got} == {(0, 0, 2), (1, 1, 4), (1, 2, 2)}
