@@ -46,11 +46,20 @@ def raw_words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"{NUMBER}|{WORD}"), F.lit(0))
 
 
+def _special(w: Column) -> Column:
+    """Whether a raw word may be a slot: false for what begins with a-z, by its code point, and is no unit's name."""
+    return F.when(F.ascii(w).between(97, 122), F.lower(w).isin(UNITS.split("|"))).otherwise(True)
+
+
+def _kind(words: Column, w: Column, i: Column) -> Column:
+    """Type of a special raw word; null for a unit's name that follows no number."""
+    number = lambda x: x.rlike(r"^\p{N}")
+    return F.when(number(w), "<num>").when(w.rlike(NAME), "<name>").when((i > 0) & number(F.coalesce(F.get(words, i - 1), F.lit(""))), "<unit>")
+
+
 def template(words: Column) -> Column:
     """Template words of raw words."""
-    number = lambda w: w.rlike(r"^\p{N}")
-    unit = lambda w, i: (i > 0) & number(F.coalesce(F.get(words, i - 1), F.lit(""))) & F.lower(w).isin(UNITS.split("|"))
-    return F.transform(words, lambda w, i: F.when(number(w), "<num>").when(w.rlike(NAME), "<name>").when(unit(w, i), "<unit>").otherwise(F.lower(w)))
+    return F.transform(words, lambda w, i: F.coalesce(F.when(_special(w), _kind(words, w, i)), F.lower(w)))
 
 
 def _windows(hashes: Column) -> Column:
@@ -60,12 +69,12 @@ def _windows(hashes: Column) -> Column:
 
 def window_hashes(words: Column) -> Column:
     """Array of (place, hash) of all windows of raw words in both readings; empty for fewer than ``WINDOW`` words."""
-    hashed = lambda ws: let(F.transform(ws, lambda w: F.xxhash64(w)), _windows)
-    one = lambda p, h: F.struct(p.alias("p"), h.alias("h"))
-    both = lambda t, r, i: F.when(t == r, F.array(one(i, t))).otherwise(F.array(one(i, t), one(i, r)))
-    pairs = lambda t, r: F.flatten(F.transform(t, lambda x, i: both(x, F.get(r, i), i)))
-    lower = lambda ws: F.transform(ws, lambda w: F.lower(w))
-    every = lambda ws: let(hashed(template(ws)), lambda t: let(hashed(lower(ws)), lambda r: pairs(t, r)))
+    plain = lambda ws: F.transform(ws, lambda w: F.xxhash64(F.lower(w)))
+    slot = lambda ws, r, w, i: let(_kind(ws, w, i), lambda k: F.when(k.isNull(), F.get(r, i)).otherwise(F.xxhash64(k)))
+    typed = lambda ws, r: F.transform(ws, lambda w, i: F.when(_special(w), slot(ws, r, w, i)).otherwise(F.get(r, i)))
+    placed = lambda h: F.transform(h, lambda x, i: F.struct(i.alias("p"), x.alias("h")))
+    pairs = lambda t, r: F.concat(placed(t), F.filter(placed(r), lambda x: x["h"] != F.get(t, x["p"])))
+    every = lambda ws: let(plain(ws), lambda r: let(let(typed(ws, r), _windows), lambda t: pairs(t, _windows(r))))
     return let(words, lambda ws: F.when(F.size(ws) >= WINDOW, every(ws)).otherwise(F.array().cast("array<struct<p:int,h:bigint>>")))
 
 
