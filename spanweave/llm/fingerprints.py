@@ -11,16 +11,17 @@ text without units has the empty fingerprint.
 The likeness of two fingerprints is the Jaccard similarity of their hashes (1 if both are
 empty).  Fingerprints are written as hexadecimal numbers joined by blanks.
 
-``with_next`` finds the next document by (``doc_id``, row number) without a global sort:
-splitters are quantiles of a bounded sample of these pairs, so rows that share an id are split
-like others; the first record of each bucket goes to the one before it too, and the first of
-all to the last, so a window inside the bucket sees every successor.  The text is shuffled once.
+``with_next`` finds the next document by ``doc_id`` without a global sort: splitters are quantiles
+of a bounded sample of ids; the first record of each bucket goes to the one before it too, and
+the first of all to the last, so a window inside the bucket sees every successor.  The text is
+shuffled once.  Where ids repeat, rows are numbered and stored first, and splitters fall between
+numbers too, so rows that share an id are spread like others; the numbers have to be stored, as
+a later read of the input may be split in another way.
 
 Null texts are empty, a null ``doc_id`` comes last (as the greatest id), equal ids follow each
-other in the order of the input's splits and rows, and a single row is its own successor.
-Inputs other than plain scans are stored first, so that rows have one number.  Places count
-modulo 2^25: of a text with more units, equal hashes exactly that far apart are one, which
-changes no likeness.  An empty table gives no rows.  Other columns are not read.
+other in the order of their numbers (the input's splits and rows), and a single row is its own
+successor.  Places count modulo 2^25: of a text with more units, equal hashes exactly that far
+apart are one, which changes no likeness.  An empty table gives no rows.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -101,38 +102,30 @@ def _bucket(splitters: list[tuple[int, int]]) -> Column:
     return at
 
 
-def _plain(docs: DataFrame) -> bool:
-    """Whether rows come from a scan in the same order whenever they are read."""
-    todo = [docs._jdf.queryExecution().optimizedPlan()]
-    while todo:
-        node = todo.pop()
-        if node.nodeName() not in ("Project", "Filter", "LogicalRelation", "Relation", "LocalRelation", "RelationV2", "DataSourceV2ScanRelation"):
-            return False
-        todo += [node.children().apply(i) for i in range(node.children().size())]
-    return True
-
-
 def with_next(docs: DataFrame, rows_a_bucket: int = ROWS_A_BUCKET) -> tuple[DataFrame, "Window"]:
     """Rows ``doc_id``, ``text``, ``next_text``, ``ghost`` and the window they lie in; ghosts are only successors."""
-    docs = texts(docs)
-    rows = (docs if _plain(docs) else cut(docs, "next-docs")).withColumn("r", F.monotonically_increasing_id())
-    rows = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(_LAST)).alias("o"), "r")
+    rows = texts(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(_LAST)).alias("o"))
+    if rows.groupBy("o").count().where("count > 1").isEmpty():
+        rows = rows.withColumn("r", F.lit(0).cast("bigint"))
+    else:
+        rows = cut(rows.withColumn("r", F.monotonically_increasing_id()), "next-docs")
     count = rows.count()
     n = min(MAX_BUCKETS, count // rows_a_bucket)
     splitters: list[tuple[int, int]] = []
     if n > 1:
-        chance = F.shiftrightunsigned(F.xxhash64("r"), 11) / float(1 << 53)
+        chance = F.shiftrightunsigned(F.xxhash64("o", "r"), 11) / float(1 << 53)
         drawn = sorted(map(tuple, rows.select("o", "r").where(chance < n * DRAWS_A_BUCKET / count).collect()))
         splitters = sorted({drawn[len(drawn) * i // n] for i in range(1, n)}) if drawn else []
     rows = rows.withColumn("b", _bucket(splitters))
-    firsts = sorted((x.b, x.f.r) for x in rows.groupBy("b").agg(F.min(F.struct("o", "r")).alias("f")).collect())
-    first, before = [-1] * (len(splitters) + 1), [-1] * (len(splitters) + 1)
-    for k, (b, r) in enumerate(firsts):
-        first[b], before[b] = r, firsts[k - 1][0]
+    firsts = sorted((x.b, x.f.o, x.f.r) for x in rows.groupBy("b").agg(F.min(F.struct("o", "r")).alias("f")).collect())
+    first, before = [{"o": _LAST, "r": -1}] * (len(splitters) + 1), [-1] * (len(splitters) + 1)
+    for k, (b, o, r) in enumerate(firsts):
+        first[b], before[b] = {"o": o, "r": r}, firsts[k - 1][0]
+    own_first = F.get(_numbers(first, "struct<o:bigint,r:bigint>"), F.col("b")) == F.struct("o", "r")
     kind = "array<struct<b:int,late:int,ghost:boolean>>"
     own = F.array(F.struct(F.col("b"), F.lit(0), F.lit(False))).cast(kind)
     late = (F.col("b") == (firsts[0][0] if firsts else 0)).cast("int")
-    ghost = F.when(F.get(_numbers(first, "bigint"), F.col("b")) == F.col("r"), F.array(F.struct(F.get(_numbers(before, "int"), F.col("b")), late, F.lit(True))).cast(kind))
+    ghost = F.when(own_first, F.array(F.struct(F.get(_numbers(before, "int"), F.col("b")), late, F.lit(True))).cast(kind))
     dealt = rows.select("doc_id", "text", "o", "r", F.inline(F.concat(own, F.coalesce(ghost, F.array().cast(kind)))))
     w = Window.partitionBy("b").orderBy("late", "o", "r")
     return dealt.withColumn("next_text", F.lead("text").over(w)), w
