@@ -67,15 +67,18 @@ def _windows(hashes: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(hashes) - WINDOW), lambda i: F.xxhash64(*(F.get(hashes, i + j) for j in range(WINDOW))))
 
 
-def window_hashes(words: Column) -> Column:
-    """Array of (place, hash) of all windows of raw words in both readings; empty for fewer than ``WINDOW`` words."""
-    plain = lambda ws: F.transform(ws, lambda w: F.xxhash64(F.lower(w)))
-    slot = lambda ws, r, w, i: let(_kind(ws, w, i), lambda k: F.when(k.isNull(), F.get(r, i)).otherwise(F.xxhash64(k)))
-    typed = lambda ws, r: F.transform(ws, lambda w, i: F.when(_special(w), slot(ws, r, w, i)).otherwise(F.get(r, i)))
-    placed = lambda h: F.transform(h, lambda x, i: F.struct(i.alias("p"), x.alias("h")))
-    pairs = lambda t, r: F.concat(placed(t), F.filter(placed(r), lambda x: x["h"] != F.get(t, x["p"])))
-    every = lambda ws: let(plain(ws), lambda r: let(let(typed(ws, r), _windows), lambda t: pairs(t, _windows(r))))
-    return let(words, lambda ws: F.when(F.size(ws) >= WINDOW, every(ws)).otherwise(F.array().cast("array<struct<p:int,h:bigint>>")))
+def with_windows(rows: DataFrame) -> DataFrame:
+    """``rows`` with raw words ``r``, one for each window of them in each reading: its place ``p`` and hash ``h``.
+
+    Each step is a column of its own, so no array is made twice; arrays hold plain numbers, and rows are made of them in generated code.
+    """
+    own = rows.columns
+    slot = lambda w, i: let(_kind(F.col("r"), w, i), lambda k: F.when(k.isNull(), F.get("plain", i)).otherwise(F.xxhash64(k)))
+    typed = F.transform("r", lambda w, i: F.when(_special(w), slot(w, i)).otherwise(F.get("plain", i)))
+    hashed = rows.where(F.size("r") >= WINDOW).select(*own, F.transform("r", lambda w: F.xxhash64(F.lower(w))).alias("plain"))
+    hashed = hashed.select(*own, "plain", typed.alias("typed")).select(*own, _windows(F.col("typed")).alias("t"), _windows(F.col("plain")).alias("w"))
+    each = hashed.select(*own, F.posexplode(F.arrays_zip("t", "w")).alias("p", "x"))
+    return each.select(*own, "p", F.explode(F.when(F.col("x.t") == F.col("x.w"), F.array("x.t")).otherwise(F.array("x.t", "x.w"))).alias("h"))
 
 
 def _key(*parts: str) -> Column:
@@ -87,23 +90,22 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     """``item`` (a key), ``item_id``, ``ip`` (place), ``h``, ``n_words`` and the window's template words and raw words, lower-cased."""
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").distinct()
     items = items.select("item_id", _key("item_id", "text").alias("item"), raw_words(F.col("text")).alias("r"))
-    items = items.select("item", "item_id", template(F.col("r")).alias("t"), "r", F.size("r").cast("bigint").alias("n_words"), F.inline(window_hashes(F.col("r"))))
-    part = lambda c: F.slice(F.col(c), F.col("p") + 1, WINDOW)
-    return items.select("item", "item_id", F.col("p").alias("ip"), "h", "n_words", part("t").alias("it"), F.transform(part("r"), lambda w: F.lower(w)).alias("ir"))
+    items = with_windows(items.select("item", "item_id", "r"))
+    part = lambda x: F.slice(x, F.col("p") + 1, WINDOW)
+    lower = F.transform(part(F.col("r")), lambda w: F.lower(w))
+    return items.select("item", "item_id", F.col("p").alias("ip"), "h", F.size("r").cast("bigint").alias("n_words"), part(template(F.col("r"))).alias("it"), lower.alias("ir"))
 
 
 def _hits(docs: DataFrame, keys: DataFrame, few: bool) -> DataFrame:
     """Windows that the documents share with ``keys`` (``h``, ``item``, ``ip``): ``doc_id``, ``doc``, ``dp``, ``dr``, ``item``, ``ip``."""
     rows = texts(docs).where("text IS NOT NULL").select("doc_id", _key("doc_id", "text").alias("doc"), raw_words(F.col("text")).alias("r"))
-    read = rows.select("doc_id", "doc", "r", window_hashes(F.col("r")).alias("w"))
-    words = F.transform(F.slice(F.col("r"), F.col("dp") + 1, WINDOW), lambda w: F.lower(w)).alias("dr")
+    words = F.transform(F.slice(F.col("r"), F.col("p") + 1, WINDOW), lambda w: F.lower(w)).alias("dr")
     if few:
-        each = read.select("doc_id", "doc", "r", F.inline("w")).withColumnRenamed("p", "dp").join(F.broadcast(keys), "h")
-        return each.select("doc_id", "doc", "dp", words, "item", "ip")
-    narrow = read.select("doc", F.inline("w")).join(keys.select("h").distinct(), "h", "left_semi")
+        return with_windows(rows).join(F.broadcast(keys), "h").select("doc_id", "doc", F.col("p").alias("dp"), words, "item", "ip")
+    narrow = with_windows(rows).select("doc", "p", "h").join(keys.select("h").distinct(), "h", "left_semi")
     places = cut(narrow.groupBy("doc").agg(F.collect_set(F.struct("p", "h")).alias("w")), "bench-places")
-    again = rows.join(places, "doc").select("doc_id", "doc", "r", F.inline("w")).withColumnRenamed("p", "dp")
-    return again.select("doc_id", "doc", "dp", words, "h").join(keys, "h").drop("h")
+    again = rows.join(places, "doc").select("doc_id", "doc", "r", F.inline("w"))
+    return again.select("doc_id", "doc", F.col("p").alias("dp"), words, "h").join(keys, "h").drop("h")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
