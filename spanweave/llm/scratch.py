@@ -9,13 +9,17 @@ to delete them then; otherwise they stay on the executors' disks until the drive
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LOCAL_ROOTS: dict[str, str] = {}
+_ENDING: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -30,6 +34,10 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new folder below the application's own; all of them go when the driver ends."""
+    if spark.sparkContext.applicationId not in _ENDING:
+        _ENDING.add(spark.sparkContext.applicationId)
+        atexit.register(release, spark)
     return f"{shared_root(spark)}/spanweave-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
@@ -65,4 +73,7 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def release(spark: SparkSession) -> None:
     """Delete every intermediate table of this application, once all results are stored."""
-    delete(spark, f"{shared_root(spark)}/spanweave-{spark.sparkContext.applicationId}")
+    if spark.sparkContext._jsc is None:
+        return
+    with contextlib.suppress(Py4JError, OSError):  # at the end of the driver the JVM may be gone
+        delete(spark, f"{shared_root(spark)}/spanweave-{spark.sparkContext.applicationId}")
