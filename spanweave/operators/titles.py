@@ -13,9 +13,16 @@ from . import knowledge
 
 
 def resolve(titles: DataFrame, redirects: DataFrame) -> DataFrame:
-    """``page_id``, ``title``, ``resolved``: the redirect's target if there is one."""
+    """``page_id``, ``title``, ``resolved``: the redirect's target if there is one, doubled quotes made single."""
     got = titles.join(redirects, titles.page_id == redirects.rd_from, "left")
-    return got.select("page_id", "title", F.coalesce("rd_title", "title").alias("resolved"))
+    return got.select("page_id", "title", F.replace(F.coalesce("rd_title", "title"), F.lit("''"), F.lit("'")).alias("resolved"))
+
+
+def expand(words: DataFrame, titles: DataFrame, redirects: DataFrame) -> DataFrame:
+    """``word``, ``expanded``: the target of the smallest page of exactly that title, if it is a redirect, else the word."""
+    first = titles.groupBy("title").agg(F.min("page_id").alias("page_id"))
+    to = first.join(redirects, F.col("page_id") == F.col("rd_from")).select(F.col("title").alias("word"), "rd_title")
+    return words.join(to, "word", "left").select("word", F.coalesce("rd_title", "word").alias("expanded"))
 
 
 def _segments(s: Column, n: Column, parts: int) -> Column:

@@ -260,6 +260,7 @@ _QUERIES = {
     "accents": "SELECT item_id, regexp_replace(strip_accents(text), '[^\\x00-\\x7F]', '', 'g') AS plain FROM bench",
     "match_score": "SELECT surface, sub, CAST(coalesce(list_filter(list_transform(string_split(surface, ' '), lambda w: CASE WHEN w = sub THEN length(sub) + 1 WHEN starts_with(w, sub) THEN length(sub) WHEN length(sub) >= 3 AND contains(w, sub) THEN length(sub) - 2 END), lambda x: x IS NOT NULL)[1], -1) AS INTEGER) AS score FROM (SELECT DISTINCT surface FROM dict WHERE contains(surface, ' ')), unnest(['red', 're', 'in', 'gizm', 'ol', 'bolt']) t(sub)",
     "redirect_resolve": "SELECT page_id, title, coalesce(rd_title, title) AS resolved FROM ttl LEFT JOIN rdr ON rd_from = page_id",
+    "redirect_words": "SELECT word, coalesce(rd_title, word) AS expanded FROM (SELECT title AS word FROM ttl UNION ALL SELECT text FROM tq) LEFT JOIN (SELECT title, min(page_id) AS p FROM ttl GROUP BY title) t ON t.title = word LEFT JOIN rdr ON rd_from = p",
     "title_match": "SELECT query_id, c1.page_id, CAST(distance AS INTEGER) AS distance, coalesce(rd_title, title) AS title FROM c1 JOIN ttl ON ttl.page_id = c1.page_id LEFT JOIN rdr ON rd_from = c1.page_id",
     "title_cascade": "SELECT query_id, page_id, 'title' AS method FROM c1 UNION ALL SELECT query_id, page_id, 'word' FROM c2 UNION ALL SELECT query_id, page_id, 'all' FROM c3 UNION ALL SELECT query_id, page_id, 'any' FROM c4 UNION ALL SELECT query_id, page_id, 'spell' FROM c5",
     "title_greedy": "SELECT query_id, round, page_id FROM greedy",

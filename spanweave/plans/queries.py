@@ -315,6 +315,13 @@ def redirect_resolve(x):
     return titles.resolve(tables.titles(x.spark, x.sf_dir), tables.redirects(x.spark, x.sf_dir))
 
 
+@query
+def redirect_words(x):
+    pages = tables.titles(x.spark, x.sf_dir)
+    words = pages.select(F.col("title").alias("word")).union(tables.title_queries(x.spark, x.sf_dir).select("text"))
+    return titles.expand(words, pages, tables.redirects(x.spark, x.sf_dir))
+
+
 @query
 def title_match(x):
     got = titles.match_title(tables.title_queries(x.spark, x.sf_dir), tables.titles(x.spark, x.sf_dir), tables.redirects(x.spark, x.sf_dir))

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
@@ -32,13 +34,20 @@ def stage(df: DataFrame, name: str) -> DataFrame:
         atexit.register(release, spark)
     path = f"{root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._spanweave_path = path
+    return out
+
+
+def _stands(df: DataFrame) -> bool:
+    path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._spanweave_path)
+    return path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
 
 def once(make: Callable[[], DataFrame], spark: SparkSession, source: str, name: str) -> DataFrame:
-    """``stage`` of what ``make`` builds from the tables in ``source``, built once in an application."""
+    """``stage`` of what ``make`` builds from the tables in ``source``, built once in an application; again if its files are gone."""
     key = (spark.sparkContext.applicationId, source, name)
-    if key not in _HELD:
+    if key not in _HELD or not _stands(_HELD[key]):
         _HELD[key] = stage(make(), name)
     return _HELD[key]
 
@@ -46,7 +55,8 @@ def once(make: Callable[[], DataFrame], spark: SparkSession, source: str, name:
 def release(spark: SparkSession) -> None:
     """Delete this application's stored tables, once all results are stored; also at the end of the driver."""
     _HELD.clear()
-    if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
+    if spark.sparkContext._jsc is None:
         return
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    with contextlib.suppress(Py4JError, OSError):  # at the end of the driver the JVM may be gone
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root(spark))
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -164,7 +164,19 @@ def test_sheet(spark, tmp_path):
     sheet.export_sheet(queries, spans, spans.limit(0), str(tmp_path / "x.ods"))
     root = ET.fromstring(zipfile.ZipFile(tmp_path / "x.ods").read("content.xml"))
     lines = [[c.findtext(".//{*}p") for c in r if "covered" not in c.tag] for r in root.iter("{urn:oasis:names:tc:opendocument:xmlns:table:1.0}table-row")]
-    assert lines == [[""], ["a", "b", "c"], ["-", "B_C"], ["-", "-", "-"], [""], ["<d>"], ["-"], ["-"]]
+    assert lines == [[None], ["a", "b", "c"], ["-", "B_C"], ["-", "-", "-"], [None], ["<d>"], ["-"], ["-"]]
+    sheet.export_sheet(queries, spans, spans.limit(0), str(tmp_path / "y.ods"), "http://x/?a=1&b=")
+    root = ET.fromstring(zipfile.ZipFile(tmp_path / "y.ods").read("content.xml"))
+    assert [(a.text, a.get("{http://www.w3.org/1999/xlink}href")) for a in root.iter("{urn:oasis:names:tc:opendocument:xmlns:text:1.0}a")] == [("B_C", "http://x/?a=1&b=B_C")]
+    assert 'office:value-type="float" office:value="1.5"' in sheet._cell(1.5)
+
+
+def test_redirects_of_words(spark):
+    pages = spark.createDataFrame([(1, "NY"), (2, "O''Hara"), (3, "LA")], "page_id long, title string")
+    to = spark.createDataFrame([(1, "New_York''s"), (4, "x")], "rd_from long, rd_title string")
+    assert {tuple(r) for r in titles.resolve(pages, to).select("page_id", "resolved").collect()} == {(1, "New_York's"), (2, "O'Hara"), (3, "LA")}
+    words = spark.createDataFrame([("NY",), ("LA",), ("none",), ("NY",)], "word string")
+    assert sorted(tuple(r) for r in titles.expand(words, pages, to).collect()) == [("LA", "LA"), ("NY", "New_York''s"), ("NY", "New_York''s"), ("none", "none")]
 
 SESSIONS = """<webscope><session id="s1"><query starttime="x"><text>big "red" apple's pie</text>
 <annotation main="true"><span>apple's pie</span><target wiki-id="1">http://en.wikipedia.org/wiki/Apple_pie</target></annotation><annotation><span>big</span></annotation></query>
@@ -186,3 +198,19 @@ def test_sessions_written(spark, tmp_path):
     sinks.write_sessions_xml(rows, str(tmp_path / "out"))
     back = sessions_xml.read_sessions(spark, str(tmp_path / "out")).collect()
     assert [(r.session_id, r.text) for r in back] == [("s1", "a & b")]
+
+
+def test_small_files(spark, tmp_path):
+    (tmp_path / "titles").write_text("Apple_pie\tx\nPear\n\n")
+    assert [r.title for r in sessions_xml.read_titles(spark, str(tmp_path / "titles")).collect()] == ["Apple_pie", "Pear"]
+    (tmp_path / "ids").write_text("P21\nP3\nP3\n\nP9\n")
+    described = spark.createDataFrame([("P21", "Sex", ["gender", "Male"]), ("P3", "Country", None), ("P4", "unused", [])], "pid string, label string, aliases array<string>")
+    got = sessions_xml.read_properties(spark, str(tmp_path / "ids"), described).orderBy("ord").collect()
+    assert [(r.pid, r.break_word) for r in got] == [("P3", "country"), ("P21", "sex"), ("P21", "gender"), ("P21", "male")]
+    fixes = spark.createDataFrame([("A", "B")], "link string, canonical string")
+    sinks.write_corrections(fixes, str(tmp_path / "fixes"))
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "fixes")).collect()] == [("A", "B")]
+    lines = [f"s{i // 3}\t0.5 L{i}" for i in range(9)]
+    (tmp_path / "dictionary").write_text("\n".join(lines) + "\n")
+    read = knowledge.build_dictionary(sessions_xml.read_dictionary_lines(spark, str(tmp_path / "dictionary")))
+    assert {(r.surface, r["rank"], r.link) for r in read.collect()} == {(f"s{i // 3}", i % 3 + 1, f"L{i}") for i in range(6)}
