@@ -45,3 +45,13 @@ def same_as_sql(spark, at, name, most):
 
 def test_ft_and(spark, alike):
     same_as_sql(spark, alike, "ft_and", 20 * N)
+
+
+def test_ft_or(spark, alike):
+    same_as_sql(spark, alike, "ft_or", 20 * N)
+
+
+def test_six_places_as_spark_rounds(spark):
+    x = [0.1234565, 0.0000005, 0.3333335, 1.0000005, 0.2499995, 1 / 3, 2 / 3]
+    want = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(F.round("x", 6)).collect()]
+    assert six(np.array(x)).tolist() == want
