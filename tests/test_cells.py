@@ -55,3 +55,17 @@ def test_six_places_as_spark_rounds(spark):
     x = [0.1234565, 0.0000005, 0.3333335, 1.0000005, 0.2499995, 1 / 3, 2 / 3]
     want = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(F.round("x", 6)).collect()]
     assert six(np.array(x)).tolist() == want
+
+
+def test_ft_or_best(spark, alike):
+    same_as_sql(spark, alike, "ft_or_best", 20 * N)
+
+
+def test_cells_in_many_blocks(spark):
+    """Small blocks give what one block gives; keys and musts hold."""
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.split(F.concat_ws(" ", F.lit("w"), F.concat(F.lit("a"), F.col("id") % 7), F.concat(F.lit("b"), F.col("id") % 5)), " ").alias("words"), (F.col("id") % 3).cast("string").alias("key"))
+    asked = docs.withColumnRenamed("doc_id", "query_id").withColumn("must", F.slice("words", 2, 1))
+    for keep in ("any", "every", 0.9, 1):
+        got = [sorted(map(tuple, cells(asked, docs, keep, d, q).collect())) for d, q in ((7, 5), (1000, 1000))]
+        assert got[0] == got[1] and got[0]
+        assert all(q % 3 == d % 3 and q % 7 == d % 7 for q, d, _ in got[0])
