@@ -69,3 +69,7 @@ def test_cells_in_many_blocks(spark):
         got = [sorted(map(tuple, cells(asked, docs, keep, d, q).collect())) for d, q in ((7, 5), (1000, 1000))]
         assert got[0] == got[1] and got[0]
         assert all(q % 3 == d % 3 and q % 7 == d % 7 for q, d, _ in got[0])
+
+
+def test_title_rescore(spark, alike):
+    same_as_sql(spark, alike, "title_rescore", 20 * N)
