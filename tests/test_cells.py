@@ -73,3 +73,7 @@ def test_cells_in_many_blocks(spark):
 
 def test_title_rescore(spark, alike):
     same_as_sql(spark, alike, "title_rescore", 20 * N)
+
+
+def test_title_greedy(spark, alike):
+    same_as_sql(spark, alike, "title_greedy", 60 * N)
