@@ -77,3 +77,7 @@ def test_title_rescore(spark, alike):
 
 def test_title_greedy(spark, alike):
     same_as_sql(spark, alike, "title_greedy", 60 * N)
+
+
+def test_title_project(spark, alike):
+    same_as_sql(spark, alike, "title_project", 60 * N)
