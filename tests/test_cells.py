@@ -81,3 +81,7 @@ def test_title_greedy(spark, alike):
 
 def test_title_project(spark, alike):
     same_as_sql(spark, alike, "title_project", 60 * N)
+
+
+def test_disambiguation(spark, alike):
+    same_as_sql(spark, alike, "disambiguation", 20 * N)
