@@ -85,3 +85,9 @@ def test_title_project(spark, alike):
 
 def test_disambiguation(spark, alike):
     same_as_sql(spark, alike, "disambiguation", 20 * N)
+
+
+def test_title_cascade(spark, alike):
+    for t in ("supplier", "nation", "region"):
+        shutil.copy(f"/root/testdata/sf0.001/{t}.parquet", alike)
+    same_as_sql(spark, alike, "title_cascade", 100 * N)
