@@ -12,6 +12,7 @@ MOST = {
     "voting_f1": 150_000,
     "cascade_f1": 55_000,
     "dynamic_f1": 120_000,
+    "combined_winners": 200_000,
 }
 
 
