@@ -13,6 +13,7 @@ MOST = {
     "cascade_f1": 55_000,
     "dynamic_f1": 120_000,
     "combined_winners": 200_000,
+    "combined_f1": 250_000,
 }
 
 
