@@ -222,7 +222,7 @@ def combined_f1(x):
 
 @query
 def combined_winners(x):
-    return x.combined()[1].groupBy("winner").agg(F.count("*").alias("n"))
+    return x.combined_winners().groupBy("winner").agg(F.count("*").alias("n"))
 
 
 @query
