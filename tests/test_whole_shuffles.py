@@ -18,7 +18,7 @@ def stages(spark):
     return {done.apply(i).stageId(): done.apply(i).shuffleWriteRecords() for i in range(done.size())}
 
 
-@pytest.mark.parametrize("name", ["combined_winners"])
+@pytest.mark.parametrize("name", ["combined_winners", "combined_f1"])
 def test_rows_shuffled(spark, name):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
