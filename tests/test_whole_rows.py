@@ -1,11 +1,14 @@
 """Both branches, winners and ratings from whole queries in one row: as by joins, and almost nothing is shuffled."""
 
+import random
 from dataclasses import replace
 
 import duckdb
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from spanweave.operators import whole
+from spanweave.operators import segment, whole
 from spanweave.plans.pipelines import Linker
 from spanweave.sources.stage import release
 
@@ -59,3 +62,21 @@ def test_unfit_tables_go_by_joins(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(whole, "MOST", 10)
     assert Linker(spark, SF).combined_whole(True) is None
     release(spark)
+
+
+@pytest.mark.parametrize("max_n", [None, 3, 1])
+def test_mentions_of_long_surfaces(spark, max_n):
+    """Surfaces of up to five words over few words, so that most n-grams cross; blanks at ends and in rows; priors that tie."""
+    rng = random.Random(7)
+    word = lambda: rng.choice(["a", "b", "c", "dd", ""])
+    surfaces = sorted({" ".join(word() for _ in range(rng.randint(1, 5))) for _ in range(300)})
+    rows = [(s, r + 1, f"L{(i + r) % 9}", rng.choice([0.2, 0.5, 0.9])) for i, s in enumerate(surfaces) for r in range(1 + i % 3)]
+    texts = [" ".join(rng.choice(["a", "b", "c", "dd", "", "zz"]) for _ in range(rng.randint(1, 14))) for _ in range(200)]
+    dictionary = spark.createDataFrame(rows, "surface string, rank int, link string, prob double")
+    queries = spark.createDataFrame(list(enumerate(texts)), "query_id long, text string").select("query_id", F.split("text", " ").alias("tokens"))
+    got = segment.resolve_overlaps(segment.lookup(segment.ngrams(queries, max_n), dictionary))
+    want = [(r.query_id, r.surface, r.position, r.word_count, r.chosen) for r in got.orderBy("query_id", "ord").collect()]
+    has = whole.known(dictionary, spark.createDataFrame([], "e1 string, e2 string, rel double"), spark.createDataFrame([("L1", "M")], "link string, canonical string"), 50, 0.005)
+    b = whole._Batch(has, pa.RecordBatch.from_pydict({"tokens": [t.split(" ") for t in texts]}), max_n)
+    names = has.surfaces.to_pylist()
+    assert list(zip(b.q.tolist(), [names[s] for s in b.s], b.position.tolist(), b.words.tolist(), b.old.tolist(), strict=True)) == want and len(want) > 300
