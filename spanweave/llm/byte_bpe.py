@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .columns import texts
+from .columns import small_batches, texts
 from .words import pieces
 
 LONG_CHARS = 1 << 20
@@ -66,6 +66,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, and_decode: bool = Fa
                 columns["decoded"] = pa.array([_bytes(tokens, x) for x in ids], pa.binary())
             yield pa.RecordBatch.from_pydict(columns)
 
+    small_batches(docs.sparkSession)
     return texts(docs).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary" + ", decoded binary" * and_decode)
 
 

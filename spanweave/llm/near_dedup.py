@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import DoubleType
 
-from .columns import texts
+from .columns import small_batches, texts
 from .linking import link
 from .membership import pick
 from .minhash import BUCKETS, band_keys, estimate, signatures
 from .scratch import cut
-from .words import mix, pieces, shingle_sets, string_bytes
+from .words import WORD_BYTES, mix, pieces, shingle_sets, string_bytes
 
 BANDS, ROWS = 32, 6
 LIMIT = 85
@@ -42,7 +42,7 @@ _SKETCH = "doc_id bigint, n bigint, s1 bigint, s2 bigint, bands array<bigint>, r
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "text"):
+    for batch in pieces(batches, "text", WORD_BYTES):
         sets = list(shingle_sets(*string_bytes(batch.column("text"))))
         size = np.array([len(s) for s in sets], np.int64)
         some = [s for s in sets if len(s)]
@@ -65,7 +65,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "text"):
+    for batch in pieces(batches, "text", WORD_BYTES):
         sets = [s.view(np.int64) for s in shingle_sets(*string_bytes(batch.column("text")))]
         at = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
         flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
@@ -94,6 +94,7 @@ def _likely(pairs: DataFrame, sketch: DataFrame, limit: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of each row."""
+    small_batches(docs.sparkSession)
     rows = texts(docs)
     sketch = cut(rows.mapInArrow(_sketch, _SKETCH), "near-sketch")
     classes = cut(sketch.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")), "near-classes")

@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import DoubleType
 
-from .columns import texts
-from .words import PIECE_BYTES, mix, pieces, string_bytes, word_hashes
+from .columns import small_batches, texts
+from .words import WORD_BYTES, mix, pieces, string_bytes, word_hashes
 
 BITS = 20
 MAX_TRAIN, MAX_TRAIN_BYTES = 12_000, 16 << 10
@@ -79,7 +79,7 @@ class Ftrl:
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = []
-    for batch in pieces(batches, "text"):
+    for batch in pieces(batches, "text", WORD_BYTES):
         place, row = features(*string_bytes(batch.column("text")))
         keys = np.unique((row << BITS) | place)
         cuts = np.searchsorted(keys, np.arange(batch.num_rows + 1) << BITS)
@@ -96,6 +96,7 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_bytes: int = MAX_TRAIN_BYTES) -> tuple[np.ndarray, np.ndarray]:
     """Places and weights of the model, the places in order."""
+    small_batches(docs.sparkSession)
     marks = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
     marks = marks.where("label IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
     order = F.xxhash64(F.lit("order"), "doc_id")
@@ -119,7 +120,7 @@ def scorer(spark, model: tuple[np.ndarray, np.ndarray]) -> Callable[[Column], Co
         _, off = string_bytes(text)
         out, at = np.full(len(text), dense[-1]), 0
         while at < len(text):
-            end = max(at + 1, int(np.searchsorted(off, off[at] + PIECE_BYTES, "right")) - 1)
+            end = max(at + 1, int(np.searchsorted(off, off[at] + WORD_BYTES, "right")) - 1)
             place, row = features(*string_bytes(text.slice(at, end - at)))
             live = dense[place] != 0
             keys = np.unique((row[live] << BITS) | place[live])

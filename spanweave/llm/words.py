@@ -14,6 +14,8 @@ import pyarrow as pa
 
 #: Text bytes handled at once; bounds the memory of a Python worker.
 PIECE_BYTES = 1 << 20
+#: The same where numbers of eight bytes are made of every byte or word, some ten of them at a time.
+WORD_BYTES = 1 << 18
 SHINGLE = 5
 
 _SPACE = np.zeros(256, bool)
